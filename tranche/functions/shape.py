@@ -1,11 +1,14 @@
-"""Helpers that turn one wide aggregate row into a small long table."""
+"""Helpers for small tables: wide rows made long, fitted values made local."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def _as_column(value) -> Column:
@@ -23,3 +26,21 @@ def record(**fields) -> Column:
 def rows_of(df: DataFrame, keep: Sequence[str], records: Sequence[Column]) -> DataFrame:
     """One output row per record and input row, with the ``keep`` columns in front."""
     return df.select(*keep, F.inline(F.array(*records)))
+
+
+def local_table(spark: SparkSession, rows: Sequence[dict], schema: str) -> DataFrame:
+    """A small driver-side table (fitted values, configuration) as a local relation."""
+    struct = T._parse_datatype_string(schema)
+    return spark.createDataFrame(pa.Table.from_pylist(list(rows), schema=to_arrow_schema(struct)), schema=struct)
+
+
+def fitted(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
+    """Run a plan whose result is a handful of fitted values and keep them as a local table.
+
+    The values are then constants of every later plan. A result with more than ``most_rows`` rows is
+    refused: it is data, not a fit.
+    """
+    rows = df.limit(most_rows + 1).collect()
+    if len(rows) > most_rows:
+        raise ValueError(f"more than {most_rows} fitted rows")
+    return local_table(df.sparkSession, [r.asDict(recursive=True) for r in rows], df.schema.simpleString())

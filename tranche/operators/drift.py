@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tranche.functions.guards import require_columns
-from tranche.functions.shape import record, rows_of
+from tranche.functions.shape import local_table, record, rows_of
 from tranche.functions.text import strip
 from tranche.operators import profile
 
@@ -202,8 +202,8 @@ def decision_queue(issues: DataFrame) -> DataFrame:
 
 def group_coverage(df: DataFrame, groups: dict[str, Sequence[str]]) -> dict[str, DataFrame]:
     """How the listed feature groups cover the columns of ``df``, with the values behind them."""
-    listed = [(g, c) for g, columns in groups.items() for c in columns]
-    config = df.sparkSession.createDataFrame(listed, "feature_group string, feature_name string")
+    listed = [{"feature_group": g, "feature_name": c} for g, columns in groups.items() for c in columns]
+    config = local_table(df.sparkSession, listed, "feature_group string, feature_name string")
     values = rows_of(
         df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns]),
         [],
@@ -391,7 +391,7 @@ def value_differences(
     smallest values. All columns are compared in one grouped pass.
     """
     if columns <= 0:
-        return train.sparkSession.createDataFrame([], "column_name string, value string, present_in string")
+        return local_table(train.sparkSession, [], "column_name string, value string, present_in string")
     chosen = top.limit(columns).select("column_name")
     counted = []
     for name, df in (("train", train), ("test", test)):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tranche.functions.shape import record
+from tranche.functions.shape import fitted, record
 
 # Upper bound for the ranges per label; keeps both broadcasts small.
 MOST_RANGES = 512
@@ -219,7 +219,10 @@ def quantile_columns(quantiles: DataFrame, by: Sequence[str], names: dict[float,
 
 
 def bin_edges(df: DataFrame, by: Sequence[str], value: str, bins: int, drop_duplicates: bool = True) -> DataFrame:
-    """(by, edges): ascending quantile edges of equal-count bins; equal edges are merged."""
+    """(by, edges): ascending quantile edges of equal-count bins; equal edges are merged.
+
+    Fits at once: the edges are a few numbers per label and constants of whatever uses them.
+    """
     if bins < 2:
         raise ValueError("bins must be at least 2")
     cuts = exact_quantiles(df, by, value, [i / bins for i in range(bins + 1)])
@@ -228,7 +231,7 @@ def bin_edges(df: DataFrame, by: Sequence[str], value: str, bins: int, drop_dupl
     )
     if drop_duplicates:
         edges = F.array_distinct(edges)
-    return cuts.groupBy(*by).agg(edges.alias("edges"))
+    return fitted(cuts.groupBy(*by).agg(edges.alias("edges")))
 
 
 def with_bin(df: DataFrame, edges: DataFrame, by: Sequence[str], value: str, name: str = "bin") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tranche.functions.guards import require_columns
-from tranche.functions.shape import record, rows_of
+from tranche.functions.shape import local_table, record, rows_of
 from tranche.functions.text import strip
 from tranche.operators import ordered
 from tranche.operators.cohort import split_rank
@@ -76,8 +76,8 @@ def column_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """(column_name, dtype, position): the schema as a table."""
     wanted = list(df.columns if columns is None else columns)
     types = dict(df.dtypes)
-    rows = [(c, types[c], i) for i, c in enumerate(df.columns) if c in wanted]
-    return df.sparkSession.createDataFrame(rows, "column_name string, dtype string, position int")
+    rows = [{"column_name": c, "dtype": types[c], "position": i} for i, c in enumerate(df.columns) if c in wanted]
+    return local_table(df.sparkSession, rows, "column_name string, dtype string, position int")
 
 
 def smallest_values(counts: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tranche import contracts
 from tranche.functions.guards import require_columns
-from tranche.functions.shape import record, rows_of
+from tranche.functions.shape import local_table, record, rows_of
 from tranche.operators import evaluation, ordered
 
 # Spark's trees cannot grow deeper than this.
@@ -266,7 +266,6 @@ def random_search(
         "trial_index bigint, roc_auc double, iterations bigint, learning_rate double, depth bigint, "
         "l2_leaf_reg double, border_count bigint, random_strength double"
     )
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
-    table = train.sparkSession.createDataFrame([tuple(r[n] for n in names) for r in results], schema)
+    table = local_table(train.sparkSession, results, schema)
     chosen = {n: best[n] for n in SEARCH_RANGES}
     return chosen, table.orderBy(F.desc("roc_auc"), "trial_index")

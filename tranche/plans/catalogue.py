@@ -5,6 +5,8 @@ from __future__ import annotations
 from tranche.plans import (  # noqa: F401  (importing registers the queries)
     audit_queries,
     cleaning_queries,
+    evaluation_queries,
+    policy_queries,
 )
 from tranche.plans.registry import CHECKS, QUERIES
 

@@ -8,6 +8,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tranche.functions.shape import local_table
+
 # Keys the validation stage expects beside a model.
 REQUIRED_METADATA = [
     "selected_model",
@@ -50,7 +52,7 @@ def save_model(spark: SparkSession, model: PipelineModel, path: str, metadata: d
         raise ValueError("path must not be empty")
     model.write().overwrite().save(path)
     record = {"row_identifier": "row_id", **metadata}
-    line = spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string")
+    line = local_table(spark, [{"value": json.dumps(record, sort_keys=True)}], "value string")
     line.coalesce(1).write.mode("overwrite").text(_metadata_path(path))
     return path
 
@@ -63,8 +65,8 @@ def load_metadata(spark: SparkSession, path: str) -> DataFrame:
 def missing_metadata(metadata: DataFrame, required: list[str] | None = None) -> DataFrame:
     """(key): required keys that the record does not have."""
     spark = metadata.sparkSession
-    wanted = spark.createDataFrame([(k,) for k in required or REQUIRED_METADATA], "key string")
-    present = spark.createDataFrame([(c,) for c in metadata.columns], "key string")
+    wanted = local_table(spark, [{"key": k} for k in required or REQUIRED_METADATA], "key string")
+    present = local_table(spark, [{"key": c} for c in metadata.columns], "key string")
     return wanted.join(present, "key", "left_anti")
 
 
