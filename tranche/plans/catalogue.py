@@ -6,6 +6,8 @@ from tranche.plans import (  # noqa: F401  (importing registers the queries)
     audit_queries,
     cleaning_queries,
     evaluation_queries,
+    feature_queries,
+    ingest_queries,
     policy_queries,
 )
 from tranche.plans.registry import CHECKS, QUERIES
