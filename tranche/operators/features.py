@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -96,15 +97,30 @@ def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
     return df.withColumns({n: F.coalesce(F.col(n).cast("double"), F.lit(float(m))) for n, m in medians.items()})
 
 
-def fit_medians(train: DataFrame, features: Sequence[str]) -> dict[str, float]:
-    """Train medians as fitted state, one number per feature."""
-    fitted = {r.feature_name: r["median"] for r in train_medians(train, features).collect()}
-    empty = [n for n in _unique(features) if n not in fitted]
+def _median_ends(train: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """The one or two middle train values per feature, as fitted state."""
+    if not features:
+        return {}
+    names = _unique(features)
+    numbers = (
+        profile.value_counts(train, names)
+        .filter(F.col("number").isNotNull())
+        .groupBy("column_name", "number")
+        .agg(F.sum("n").alias("n"))
+    )
+    ends = ordered.quantile_ends(numbers, ["column_name"], "number", [0.5])
+    fitted = {row.column_name: (row.low, row.high) for row in ends.collect()}
+    empty = [n for n in names if n not in fitted]
     if empty:
         raise ContractViolation(f"no train values to take a median from: {empty}")
     return fitted
 
 
+def fit_medians(train: DataFrame, features: Sequence[str]) -> dict[str, float]:
+    """Train medians as fitted state, one number per feature."""
+    return {f: low + (high - low) / 2 for f, (low, high) in _median_ends(train, _unique(features)).items()}
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """(column_name, null_count) of every column in one aggregate."""
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
@@ -145,13 +161,15 @@ def branches(df: DataFrame, rules: FeatureRules, split: str = "split") -> dict[s
     categories = category_lists(train, rules.categorical)
     unfilled = [c for c in features_to_impute(train) if c not in rules.categorical]
     encoded = one_hot(base, categories)
-    if not unfilled:
-        return {"shared": log1p(encoded, rules.log), "tree_no_log": encoded, "native": base}
-    # log1p keeps the order of values, but not the midpoint of two: the branches are fitted apart.
-    raw = fit_medians(train, unfilled)
-    logged = fit_medians(log1p(train, rules.log), unfilled)
+    middles = _median_ends(train, unfilled)
+    raw = {f: (low + high) / 2 for f, (low, high) in middles.items()}
+    # log1p keeps the order of values: the logged median lies between the same two neighbours.
+    logged = {
+        f: (math.log1p(low) + math.log1p(high)) / 2 if f in rules.log else raw[f] for f, (low, high) in middles.items()
+    }
+    shared = log1p(encoded, rules.log) if rules.log else encoded
     return {
-        "shared": impute(log1p(encoded, rules.log), logged),
+        "shared": impute(shared, logged),
         "tree_no_log": impute(encoded, raw),
         "native": base,
     }

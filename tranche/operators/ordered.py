@@ -189,6 +189,13 @@ def quantiles_of_counts(
     counts: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float]
 ) -> DataFrame:
     """As :func:`exact_quantiles`, from a table of (by, value, n) with distinct values."""
+    ends = quantile_ends(counts, by, value, probabilities)
+    between = F.col("low") + (F.col("high") - F.col("low")) * F.col("share")
+    return ends.select(*by, "probability", between.alias("quantile"))
+
+
+def quantile_ends(counts: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+    """(by, probability, low, high, share): the neighbours each quantile lies between, and where."""
     by = list(by)
 
     def spots(size: Column) -> Column:
@@ -202,12 +209,8 @@ def quantiles_of_counts(
     found = select_ranks(counts, by, value, spots)
     return (
         found.groupBy(*by, "tag")
-        .agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
-        .select(
-            *by,
-            F.col("tag.probability").alias("probability"),
-            (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("tag.share")).alias("quantile"),
-        )
+        .agg(F.min(value).alias("low"), F.max(value).alias("high"))
+        .select(*by, "tag.probability", "low", "high", "tag.share")
     )
 
 
