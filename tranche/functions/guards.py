@@ -12,6 +12,11 @@ def ensure(condition: Column, value: Column, message: str | Column) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), value).otherwise(F.raise_error(text))
 
 
+def known(value: Column, source: Column, message: str) -> Column:
+    """``value``, evaluated once; the job fails where it is null although ``source`` is not."""
+    return F.coalesce(value, F.when(source.isNotNull(), F.raise_error(F.concat(F.lit(message), source))))
+
+
 def binary_target(column: str) -> Column:
     c = F.col(column)
     return ensure(c.isin(0, 1), c.cast("bigint"), f"{column} must be 0 or 1 and not null")

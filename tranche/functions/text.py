@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tranche.functions.guards import ensure
+from tranche.functions.guards import known
 
+# The whitespace characters that stripping and collapsing know.
+WHITESPACE = " \t\n\r\f\x0b"
 # Month text as written in the raw extracts.
 MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 # Fixed value: two-digit years from here on belong to the 1900s.
@@ -16,8 +18,14 @@ MISSING_EMPLOYMENT_TOKENS = ["n/a", "na", "n.a."]
 
 
 def strip(column: Column) -> Column:
-    """Trim every kind of whitespace (Spark's ``trim`` removes blanks only)."""
-    return F.regexp_replace(column.cast("string"), r"^\s+|\s+$", "")
+    """Trim every kind of whitespace (Spark's plain ``trim`` removes blanks only)."""
+    return F.btrim(column.cast("string"), F.lit(WHITESPACE))
+
+
+def collapse(column: Column) -> Column:
+    """Runs of whitespace become one blank; the regex runs only on values that have a run."""
+    blanks = F.translate(column, WHITESPACE, " " * len(WHITESPACE))
+    return F.when(F.contains(blanks, F.lit("  ")), F.regexp_replace(blanks, " +", " ")).otherwise(blanks)
 
 
 def normalise(
@@ -31,7 +39,7 @@ def normalise(
     if strip_whitespace:
         text = strip(text)
     if collapse_whitespace:
-        text = F.regexp_replace(text, r"\s+", " ")
+        text = collapse(text)
     if lowercase:
         text = F.lower(text)
     if underscores:
@@ -58,7 +66,7 @@ def lookup(column: Column, mapping: dict, allow_unmapped: bool = False, what: st
     found = F.try_element_at(F.create_map(*pairs), column)
     if allow_unmapped:
         return F.coalesce(found.cast("string"), column)
-    return ensure(column.isNull() | found.isNotNull(), found, F.concat(F.lit(f"unmapped {what}: "), column))
+    return known(found, column, f"unmapped {what}: ")
 
 
 def employment_years(column: Column) -> Column:
@@ -82,5 +90,4 @@ def month_start(column: Column, formats: tuple[str, ...] = ("MMM-yyyy", "MMM-yy"
             century = F.year(parsed) >= 2000 + TWO_DIGIT_YEAR_PIVOT
             parsed = F.when(century, parsed - F.expr("INTERVAL '100' YEAR")).otherwise(parsed)
         attempts.append(parsed)
-    parsed = F.coalesce(*attempts)
-    return ensure(text.isNull() | parsed.isNotNull(), parsed, F.concat(F.lit("unreadable month: "), text))
+    return known(F.coalesce(*attempts), text, "unreadable month: ")

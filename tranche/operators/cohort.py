@@ -195,18 +195,17 @@ def rate_by_train_quantile(
     """
     features = [features] if isinstance(features, str) else list(features)
     require_columns(df, *features, target, split)
-    long = (
-        df.select(split, target, *[F.col(f).cast("double").alias(f) for f in features])
-        .unpivot([split, target], features, "feature_name", "value")
-        .filter(F.col("value").isNotNull())
-    )
-    edges = ordered.bin_edges(long.filter(F.col(split) == train_label), ["feature_name"], "value", bins)
+    numbers = [F.col(f).cast("double").alias(f) for f in features]
+    # The train filter comes before the unpivot, so that every reader of the train values shares one plan.
+    train = df.filter(F.col(split) == train_label).select(*numbers).unpivot([], features, "feature_name", "value")
+    edges = ordered.bin_edges(train, ["feature_name"], "value", bins)
+    long = df.select(split, target, *numbers).unpivot([split, target], features, "feature_name", "value")
     edges = edges.withColumn(
         "edges",
         ensure(F.size("edges") >= 3, F.col("edges"), F.concat(F.lit("too few distinct edges: "), F.col("feature_name"))),
     )
     counted = (
-        ordered.with_bin(long, edges, ["feature_name"], "value")
+        ordered.with_bin(long, edges, ["feature_name"], "value", bins)
         .filter(F.col("bin").isNotNull())
         .groupBy(split, "feature_name", "bin")
         .agg(F.count(F.lit(1)).alias("loan_count"), percent_of(F.col(target)).alias("default_rate_percent"))

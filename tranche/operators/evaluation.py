@@ -24,8 +24,10 @@ OUTCOME_TYPES = ["true_positive", "true_negative", "false_positive", "false_nega
 
 def subgrade_rank(column: Column) -> Column:
     """a1..g5 -> 1..35; any other text or null fails the job."""
-    rank = (F.ascii(column) - F.ascii(F.lit("a"))) * 5 + F.substring(column, 2, 1).try_cast("int")
-    return ensure(column.rlike("^[a-g][1-5]$"), rank, F.concat(F.lit("unknown subgrade: "), column))
+    grade, step = F.substring(column, 1, 1), F.substring(column, 2, 1)
+    valid = (F.length(column) == 2) & grade.between("a", "g") & step.between("1", "5")
+    rank = (F.ascii(column) - F.ascii(F.lit("a"))) * 5 + F.ascii(step) - F.ascii(F.lit("0"))
+    return ensure(valid, rank, F.concat(F.lit("unknown subgrade: "), column))
 
 
 def with_subgrade_rank(df: DataFrame, subgrade: str = "sub_grade", output: str = "subgrade_rank") -> DataFrame:
@@ -248,7 +250,7 @@ def calibration_table(
     scored = df.select(*by, not_null(score).alias("_p"), binary_target(target).alias("_y"))
     edges = ordered.bin_edges(scored, by, "_p", bins, merge_equal_edges)
     table = (
-        ordered.with_bin(scored, edges, by, "_p")
+        ordered.with_bin(scored, edges, by, "_p", bins)
         .groupBy(*by, "bin")
         .agg(
             F.count(F.lit(1)).alias("row_count"),
@@ -301,7 +303,7 @@ def risk_bands(
     require_columns(df, score, target, dataset, *([interest_rate] if interest_rate else []))
     base = df.select(dataset, F.col(score).alias("_p"), F.col(target).alias("_y"), *([interest_rate] if interest_rate else []))
     edges = ordered.bin_edges(base, [dataset], "_p", bands)
-    banded = ordered.with_bin(base, edges, [dataset], "_p")
+    banded = ordered.with_bin(base, edges, [dataset], "_p", bands)
     aggs = [
         F.count(F.lit(1)).alias("loan_count"),
         F.avg("_p").alias("predicted_default_probability_mean"),

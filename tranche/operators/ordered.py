@@ -13,6 +13,7 @@ times number of ranges.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -31,6 +32,20 @@ def ranges_for(spark: SparkSession) -> int:
     return max(8, min(MOST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def _cuts_before(value: Column, most: int, descending: bool) -> Column:
+    """How many of the sorted ``_cuts`` come before ``value``: whole blocks first, then one block."""
+    block = max(1, math.isqrt(most))
+
+    def before(cut: Column) -> Column:
+        return cut > value if descending else cut < value
+
+    ends = F.filter("_cuts", lambda cut, i: ((i + 1) % block == 0) & before(cut))
+    if most <= 2 * block or most < 32:
+        return F.size(F.filter("_cuts", before))
+    whole = F.size(ends) * block
+    return whole + F.size(F.filter(F.slice("_cuts", whole + 1, F.lit(block)), before))
+
+
 @dataclass(frozen=True)
 class RangedTotals:
     """``rows``: by, value, weights, _range. ``ranges``: totals and offsets per range."""
@@ -52,15 +67,12 @@ def _cut_into_ranges(
         weighted.select(*by, value, F.row_number().over(sample_order).alias("_rank"))
         .filter(F.col("_rank") < wanted)
         .groupBy(*by)
-        .agg(F.array_sort(F.collect_list(value)).alias("_cuts"))
+        .agg(F.sort_array(F.collect_list(value), asc=not descending).alias("_cuts"))
     )
-    current = F.col(value)
-    if descending:
-        range_number = F.size(F.filter("_cuts", lambda cut: cut > current))
-    else:
-        range_number = F.size(F.filter("_cuts", lambda cut: cut < current))
     # Bounded broadcast: one row per label, at most MOST_RANGES - 1 values in it.
-    rows = totals.join(F.broadcast(cuts), by).withColumn("_range", range_number).drop("_cuts")
+    rows = totals.join(F.broadcast(cuts), by).select(
+        *by, value, *weights, _cuts_before(F.col(value), wanted, descending).alias("_range")
+    )
 
     first = F.max_by if descending else F.min_by
     head = record(**{f"next_{w}": F.col(w) for w in weights})
@@ -172,17 +184,21 @@ def select_ranks(
     )
 
 
+def value_counts_of(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, _value, n): how often each non-null value occurs, as double."""
+    return (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*by, F.col(value).cast("double").alias("_value"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
     """(by, probability, quantile): exact quantiles with linear interpolation, nulls ignored.
 
     Groups without any value give no row.
     """
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("_value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return quantiles_of_counts(counts, by, "_value", probabilities)
+    return quantiles_of_counts(value_counts_of(df, by, value), by, "_value", probabilities)
 
 
 def quantiles_of_counts(
@@ -194,9 +210,8 @@ def quantiles_of_counts(
     return ends.select(*by, "probability", between.alias("quantile"))
 
 
-def quantile_ends(counts: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
-    """(by, probability, low, high, share): the neighbours each quantile lies between, and where."""
-    by = list(by)
+def _found_ends(counts: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+    """(by, tag, rank, value): the one or two values next to each quantile."""
 
     def spots(size: Column) -> Column:
         targets = []
@@ -206,19 +221,31 @@ def quantile_ends(counts: DataFrame, by: Sequence[str], value: str, probabilitie
             targets += [record(tag=tag, rank=F.floor(spot)), record(tag=tag, rank=F.ceil(spot))]
         return F.array(*targets)
 
-    found = select_ranks(counts, by, value, spots)
+    return select_ranks(counts, by, value, spots)
+
+
+def quantile_ends(counts: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+    """(by, probability, low, high, share): the neighbours each quantile lies between, and where."""
+    by = list(by)
     return (
-        found.groupBy(*by, "tag")
+        _found_ends(counts, by, value, probabilities)
+        .groupBy(*by, "tag")
         .agg(F.min(value).alias("low"), F.max(value).alias("high"))
         .select(*by, "tag.probability", "low", "high", "tag.share")
     )
 
 
-def quantile_columns(quantiles: DataFrame, by: Sequence[str], names: dict[float, str]) -> DataFrame:
+def _quantile_at(value: str, probability: float) -> Column:
+    """Aggregate over found ends: the interpolated quantile."""
+    here = F.col("tag.probability") == F.lit(float(probability))
+    low, high = F.min(F.when(here, F.col(value))), F.max(F.when(here, F.col(value)))
+    return low + (high - low) * F.max(F.when(here, F.col("tag.share")))
+
+
+def exact_quantile_columns(df: DataFrame, by: Sequence[str], value: str, names: dict[float, str]) -> DataFrame:
     """One row per group with one column per probability."""
-    return quantiles.groupBy(*by).agg(
-        *[F.max(F.when(F.col("probability") == F.lit(float(p)), F.col("quantile"))).alias(n) for p, n in names.items()]
-    )
+    found = _found_ends(value_counts_of(df, by, value), by, "_value", list(names))
+    return found.groupBy(*by).agg(*[_quantile_at("_value", p).alias(name) for p, name in names.items()])
 
 
 def bin_edges(df: DataFrame, by: Sequence[str], value: str, bins: int, drop_duplicates: bool = True) -> DataFrame:
@@ -228,25 +255,25 @@ def bin_edges(df: DataFrame, by: Sequence[str], value: str, bins: int, drop_dupl
     """
     if bins < 2:
         raise ValueError("bins must be at least 2")
-    cuts = exact_quantiles(df, by, value, [i / bins for i in range(bins + 1)])
-    edges = F.transform(
-        F.array_sort(F.collect_list(F.struct("probability", "quantile"))), lambda e: e["quantile"]
-    )
-    if drop_duplicates:
-        edges = F.array_distinct(edges)
-    return fitted(cuts.groupBy(*by).agg(edges.alias("edges")))
+    cuts = [i / bins for i in range(bins + 1)]
+    found = _found_ends(value_counts_of(df, by, value), by, "_value", cuts)
+    wide = found.groupBy(*by).agg(F.array(*[_quantile_at("_value", p) for p in cuts]).alias("edges"))
+    return fitted(wide.select(*by, F.array_distinct("edges").alias("edges")) if drop_duplicates else wide)
 
 
-def with_bin(df: DataFrame, edges: DataFrame, by: Sequence[str], value: str, name: str = "bin") -> DataFrame:
+def with_bin(
+    df: DataFrame, edges: DataFrame, by: Sequence[str], value: str, bins: int, name: str = "bin"
+) -> DataFrame:
     """Right-closed bin number 1..k by the ``edges`` of the row's group; null outside the edges.
 
-    ``edges`` is one small row per label and is broadcast; without ``by`` it is a single row.
+    ``bins`` is the number of bins the edges were fitted for: it fixes how many comparisons are
+    compiled. ``edges`` is one small row per label and is broadcast.
     """
     v = F.col(value).cast("double")
-    last = F.size("edges")
-    inner = F.slice("edges", 2, F.greatest(last - 2, F.lit(0)))
-    number = F.size(F.filter(inner, lambda e: e < v)) + 1
-    inside = (v >= F.element_at("edges", 1)) & (v <= F.element_at("edges", -1))
+    inner = [F.coalesce((F.get("edges", F.lit(i)) < v).cast("int"), F.lit(0)) for i in range(1, bins)]
+    # The last edge closes the last bin: values up to it are inside, so it must not be counted.
+    number = F.least(sum(inner, F.lit(1)), F.size("edges") - 1)
+    inside = (v >= F.get("edges", F.lit(0))) & (v <= F.element_at("edges", -1))
     joined = df.join(F.broadcast(edges), list(by), "left")
     return joined.withColumn(name, F.when(inside, number)).drop("edges")
 

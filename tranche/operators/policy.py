@@ -178,9 +178,7 @@ def _sweep(
     those few sums are repeated once per policy, so the cost does not grow with the grid.
     """
     grid = sorted(grid)
-    limits = F.array(*[F.lit(limit) for limit, _ in grid])
-    m = F.col("_m")
-    step = F.size(F.filter(limits, lambda limit: limit < m))
+    step = sum(((F.lit(limit) < F.col("_m")).cast("int") for limit, _ in grid), F.lit(0))
     sums = (
         df.select(
             F.col(dataset).alias("dataset_name"),

@@ -285,7 +285,7 @@ def numeric_summary(df: DataFrame, feature: str, split: str = "split") -> DataFr
     """Count, missing percent, mean, median, p05 and p95 of one feature per split, two digits."""
     require_columns(df, feature, split)
     names = {0.05: "p05", 0.5: "median", 0.95: "p95"}
-    quantiles = ordered.quantile_columns(ordered.exact_quantiles(df, [split], feature, list(names)), [split], names)
+    quantiles = ordered.exact_quantile_columns(df, [split], feature, names)
     return (
         df.groupBy(split)
         .agg(

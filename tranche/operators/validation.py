@@ -178,7 +178,7 @@ def describe_rates(rates: DataFrame, split: str = "split", rate: str = "default_
     """count, mean, std, min, quartiles and max of the rates per split."""
     require_columns(rates, split, rate)
     names = {0.25: "p25", 0.5: "p50", 0.75: "p75"}
-    quartiles = ordered.quantile_columns(ordered.exact_quantiles(rates, [split], rate, list(names)), [split], names)
+    quartiles = ordered.exact_quantile_columns(rates, [split], rate, names)
     return (
         rates.groupBy(split)
         .agg(

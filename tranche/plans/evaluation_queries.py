@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tranche.functions import formats
+from tranche.functions.shape import record
 from tranche.operators import evaluation, validation
 from tranche.plans.loans import clean_loans, modeled_loans, raw_loans, test_of, train_of
 from tranche.plans.registry import check, n, query, r, rounded
@@ -16,13 +17,14 @@ def scored_loans(spark, sf_dir):
 
 
 def two_models(spark, sf_dir):
-    """The score and its mirror image as two scored models, one row per loan and model."""
-    loans = scored_loans(spark, sf_dir)
-    parts = []
-    for name, probability in (("score", F.col("score")), ("mirror", F.round(1 - F.col("score"), 4))):
-        p = evaluation.with_predictions(loans.withColumn("p", probability), "p")
-        parts.append(p.withColumns({"model_name": F.lit(name), "dataset_name": F.col("split")}))
-    return evaluation.combine(parts)
+    """The score and its mirror image as two scored models: one pass, one row per loan and model."""
+    probabilities = F.array(
+        record(model_name="score", p=F.col("score")), record(model_name="mirror", p=F.round(1 - F.col("score"), 4))
+    )
+    both = modeled_loans(raw_loans(spark, sf_dir)).select(
+        "row_id", "target_default", "loan_amnt", F.col("split").alias("dataset_name"), F.inline(probabilities)
+    )
+    return evaluation.with_predictions(both, "p")
 
 
 MODELS_SQL = """models AS (
