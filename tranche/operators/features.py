@@ -102,12 +102,7 @@ def _median_ends(train: DataFrame, features: Sequence[str]) -> dict[str, tuple[f
     if not features:
         return {}
     names = _unique(features)
-    numbers = (
-        profile.value_counts(train, names)
-        .filter(F.col("number").isNotNull())
-        .groupBy("column_name", "number")
-        .agg(F.sum("n").alias("n"))
-    )
+    numbers = profile.value_counts(train, names).filter(F.col("number").isNotNull())
     ends = ordered.quantile_ends(numbers, ["column_name"], "number", [0.5])
     fitted = {row.column_name: (row.low, row.high) for row in ends.collect()}
     empty = [n for n in names if n not in fitted]

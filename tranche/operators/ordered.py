@@ -204,7 +204,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities:
 def quantiles_of_counts(
     counts: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float]
 ) -> DataFrame:
-    """As :func:`exact_quantiles`, from a table of (by, value, n) with distinct values."""
+    """As :func:`exact_quantiles`, from a table of (by, value, n)."""
     ends = quantile_ends(counts, by, value, probabilities)
     between = F.col("low") + (F.col("high") - F.col("low")) * F.col("share")
     return ends.select(*by, "probability", between.alias("quantile"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -39,37 +39,36 @@ def _percent_null(nulls, total):
 def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by, column_name, value, number, n), nulls counted as a value of their own.
 
-    ``number`` is the value as a double for numeric columns, null otherwise. Columns are grouped by
-    type so that numbers are compared as numbers and turned into text once per distinct value.
+    ``number`` is the value as a double for numeric columns, null otherwise. One scan and one shuffle
+    serve all columns: each value travels in the slot of its type, so numbers are compared as numbers
+    and turned into text once per distinct value.
     """
     require_columns(df, *columns, *by)
     types = {f.name: f.dataType for f in df.schema.fields}
-    doubles = [c for c in columns if isinstance(types[c], _DOUBLE_SAFE)]
-    longs = [c for c in columns if isinstance(types[c], T.LongType)]
-    texts = [c for c in columns if c not in doubles and c not in longs]
-    parts = []
-    for family, spark_type in ((doubles, "double"), (longs, "bigint"), (texts, "string")):
-        if not family:
-            continue
-        counted = (
-            df.select(*by, *[F.col(c).cast(spark_type).alias(c) for c in family])
-            .unpivot(list(by), family, "column_name", "value")
-            .groupBy(*by, "column_name", "value")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        decimals = [c for c in family if isinstance(types[c], T.DecimalType)]
-        number = F.col("value").cast("double") if spark_type != "string" else (
-            F.when(F.col("column_name").isin(decimals), F.col("value").try_cast("double"))
-            if decimals
-            else F.lit(None).cast("double")
-        )
-        parts.append(
-            counted.select(*by, "column_name", F.col("value").cast("string").alias("value"), number.alias("number"), "n")
-        )
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
+    slots = {"number": "double", "whole": "bigint", "text": "string"}
+    slot_of = {
+        c: "number" if isinstance(types[c], _DOUBLE_SAFE) else "whole" if isinstance(types[c], T.LongType) else "text"
+        for c in columns
+    }
+    used = [s for s in slots if s in slot_of.values()]
+
+    def in_slot(c: str) -> Column:
+        fields = {s: F.col(c).cast(slots[s]) if s == slot_of[c] else F.lit(None).cast(slots[s]) for s in used}
+        return record(column_name=c, **fields)
+
+    long = rows_of(df, by, [in_slot(c) for c in columns])
+    counted = long.groupBy(*by, "column_name", *used).agg(F.count(F.lit(1)).alias("n"))
+    decimals = [c for c in columns if isinstance(types[c], T.DecimalType)]
+    numbers = [F.col(s).cast("double") for s in used if s != "text"]
+    if decimals:
+        numbers.append(F.when(F.col("column_name").isin(decimals), F.col("text").try_cast("double")))
+    return counted.select(
+        *by,
+        "column_name",
+        F.coalesce(*[F.col(s).cast("string") for s in used]).alias("value"),
+        (F.coalesce(*numbers) if numbers else F.lit(None).cast("double")).alias("number"),
+        "n",
+    )
 
 
 def column_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -193,7 +192,7 @@ def plain_statistics(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
 
 def medians_of(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     keys = [*by, "column_name"]
-    numbers = counts.filter(F.col("number").isNotNull()).groupBy(*keys, "number").agg(F.sum("n").alias("n"))
+    numbers = counts.filter(F.col("number").isNotNull())
     return ordered.quantiles_of_counts(numbers, keys, "number", [0.5]).select(*keys, F.col("quantile").alias("median"))
 
 

@@ -276,11 +276,11 @@ def _aligned_sql(name: str, audits: str, stats: tuple[str, ...], changed: str) -
 
 
 _STATS = ("mean", "median", "std", "min", "max")
-_ALIGNED_STRINGS = (
+ALIGNED_STRINGS = (
     *_STRINGS,
     _aligned_sql("aligned", "strings", ("sample_values",), "a.unique_count_non_null IS DISTINCT FROM b.unique_count_non_null"),
 )
-_ALIGNED_NUMBERS = (
+ALIGNED_NUMBERS = (
     *_NUMBERS,
     _aligned_sql(
         "aligned", "numbers", _STATS,
@@ -294,7 +294,7 @@ def _string_select(table: str = "aligned", extra: str = "") -> str:
     return f"""SELECT * REPLACE ({r('null_gap_test_minus_train')} AS null_gap_test_minus_train) {extra} FROM {table}"""
 
 
-def _number_select(extra: str = "") -> str:
+def number_select(extra: str = "") -> str:
     shown = ", ".join(f"{r(c)} AS {c}" for c in ["null_gap_test_minus_train", *_NUMBER_COLUMNS])
     return f"SELECT * REPLACE ({shown}) {extra} FROM aligned"
 
@@ -303,12 +303,12 @@ def _flat_samples(df):
     return df.withColumns({c: F.array_join(c, "|") for c in ("sample_values_train", "sample_values_test")})
 
 
-@query("b16_align_strings", check(_string_select(), *_ALIGNED_STRINGS))
+@query("b16_align_strings", check(_string_select(), *ALIGNED_STRINGS))
 def b16_align_strings(spark, sf_dir):
     return rounded(_flat_samples(drift.align_strings(drift.string_audits(*_both(spark, sf_dir)))))
 
 
-@query("b17_align_numbers", check(_number_select(), *_ALIGNED_NUMBERS))
+@query("b17_align_numbers", check(number_select(), *ALIGNED_NUMBERS))
 def b17_align_numbers(spark, sf_dir):
     return rounded(drift.align_numbers(drift.numeric_audits(*_both(spark, sf_dir))))
 
@@ -318,6 +318,9 @@ _STRING_SCORE = f"{_XOR} + CASE WHEN ABS(unique_non_null_gap_test_minus_train) >
 _NUMBER_SCORE = f"{_XOR} + " + " + ".join(
     f"CASE WHEN ABS({s}_gap_test_minus_train) > 0 THEN 10 ELSE 0 END" for s in ("mean", "median", "std")
 )
+TOP_NUMBERS = f""" WHERE has_difference ORDER BY {_NUMBER_SCORE} DESC,
+    ABS(aligned.null_gap_test_minus_train) DESC NULLS LAST, ABS(aligned.mean_gap_test_minus_train) DESC NULLS LAST,
+    ABS(aligned.median_gap_test_minus_train) DESC NULLS LAST, ABS(aligned.std_gap_test_minus_train) DESC NULLS LAST, column_name"""
 _TOP_STRINGS = f"""top AS (SELECT *, {_STRING_SCORE} AS severity_score FROM aligned WHERE has_difference
     ORDER BY severity_score DESC, ABS(null_gap_test_minus_train) DESC NULLS LAST, ABS(unique_non_null_gap_test_minus_train) DESC NULLS LAST, column_name
     LIMIT 6)"""
@@ -325,7 +328,7 @@ _TOP_STRINGS = f"""top AS (SELECT *, {_STRING_SCORE} AS severity_score FROM alig
 
 @query(
     "b18_top_string_deltas",
-    check(_string_select("top"), *_ALIGNED_STRINGS, _TOP_STRINGS),
+    check(_string_select("top"), *ALIGNED_STRINGS, _TOP_STRINGS),
 )
 def b18_top_string_deltas(spark, sf_dir):
     deltas = drift.align_strings(drift.string_audits(*_both(spark, sf_dir))).filter("has_difference")
@@ -335,11 +338,10 @@ def b18_top_string_deltas(spark, sf_dir):
 @query(
     "b19_top_numeric_deltas",
     check(
-        _number_select(f", {_NUMBER_SCORE} AS severity_score")
-        + """ WHERE has_difference ORDER BY severity_score DESC, ABS(aligned.null_gap_test_minus_train) DESC NULLS LAST,
-        ABS(aligned.mean_gap_test_minus_train) DESC NULLS LAST, ABS(aligned.median_gap_test_minus_train) DESC NULLS LAST,
-        ABS(aligned.std_gap_test_minus_train) DESC NULLS LAST, column_name LIMIT 5""",
-        *_ALIGNED_NUMBERS,
+        number_select(f", {_NUMBER_SCORE} AS severity_score")
+        + TOP_NUMBERS
+        + " LIMIT 5",
+        *ALIGNED_NUMBERS,
     ),
 )
 def b19_top_numeric_deltas(spark, sf_dir):
@@ -355,7 +357,7 @@ _VALUES_SQL = """SELECT column_name, value, present_in FROM (
     QUALIFY ROW_NUMBER() OVER (PARTITION BY column_name, present_in ORDER BY value) <= 10"""
 
 
-@query("b20_value_differences", check(_VALUES_SQL, *_ALIGNED_STRINGS, _TOP_STRINGS))
+@query("b20_value_differences", check(_VALUES_SQL, *ALIGNED_STRINGS, _TOP_STRINGS))
 def b20_value_differences(spark, sf_dir):
     train, test = _both(spark, sf_dir)
     deltas = drift.align_strings(drift.string_audits(train, test)).filter("has_difference")
@@ -368,12 +370,12 @@ def _report_sql(prefix: str) -> str:
         LEAST(COUNT(*) FILTER (WHERE has_difference), CAST(10 AS BIGINT)) AS top_k_returned FROM aligned"""
 
 
-@query("b21_string_drift_report", check(_report_sql("string_like_cols"), *_ALIGNED_STRINGS))
+@query("b21_string_drift_report", check(_report_sql("string_like_cols"), *ALIGNED_STRINGS))
 def b21_string_drift_report(spark, sf_dir):
     return drift.string_drift_report(*_both(spark, sf_dir))["summary"]
 
 
-@query("b22_numeric_drift_report", check(_report_sql("numeric_cols"), *_ALIGNED_NUMBERS))
+@query("b22_numeric_drift_report", check(_report_sql("numeric_cols"), *ALIGNED_NUMBERS))
 def b22_numeric_drift_report(spark, sf_dir):
     return drift.numeric_drift_report(*_both(spark, sf_dir))["summary"]
 

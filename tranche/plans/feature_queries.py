@@ -152,7 +152,30 @@ def f7_group_coverage(spark, sf_dir):
     return drift.group_coverage(modeled, groups)["coverage_summary"]
 
 
-@query("f8_branch_manifest")
+_BASE = [
+    "row_id", "split", "loan_amnt", "annual_inc", "mths_since_last_delinq", "open_acc", "dti", "revol_bal",
+    "has_mths_since_last_delinq", "term_months", "emp_length_years", "target_default",
+]
+_FLAGS = [f"purpose_{p}" for p in _PURPOSES] + [f"home_ownership_{h}" for h in _HOMES]
+_NATIVE = _BASE[:4] + ["home_ownership", "purpose"] + _BASE[4:]
+
+
+def _manifest_sql(branch: str, names: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{branch}' AS branch, CAST({i} AS BIGINT) AS position, '{c}' AS column_name,
+        COUNT(*) - COUNT({c if branch == 'native' else '*'}) AS null_count FROM m"""
+        for i, c in enumerate(names, start=1)
+    )
+
+
+@query(
+    "f8_branch_manifest",
+    check(
+        " UNION ALL ".join(
+            [_manifest_sql("shared", _BASE + _FLAGS), _manifest_sql("tree_no_log", _BASE + _FLAGS), _manifest_sql("native", _NATIVE)]
+        )
+    ),
+)
 def f8_branch_manifest(spark, sf_dir):
     return features.branch_manifest(_branches(spark, sf_dir))
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tranche.functions.shape import record
 from tranche.operators import drift
 from tranche.plans.audit_frames import audit_test, audit_train
+from tranche.plans.audit_queries import ALIGNED_NUMBERS, ALIGNED_STRINGS, TOP_NUMBERS, number_select
 from tranche.plans.loans import clean_loans, raw_loans, table
-from tranche.plans.registry import check, query, rounded
+from tranche.plans.registry import check, query, r, rounded
 from tranche.plans.session import shared_folder
 from tranche.sources import dirty_csv, reports, storage
 
@@ -165,6 +166,11 @@ def a7_typed_scan(spark, sf_dir):
     return dirty_csv.with_inferred_types(staged.select("id", "cust", "status"))
 
 
+def _typed(df):
+    """Counts come back from CSV as the narrowest integer; compare them as bigint."""
+    return df.withColumns({c: F.col(c).cast("bigint") for c, t in df.dtypes if t == "int"})
+
+
 _ROUND_TRIP = ["row_id", "split", "loan_amnt", "annual_inc", "purpose", "dti", "issue_year"]
 
 
@@ -183,18 +189,28 @@ def a9_layer_round_trip(spark, sf_dir):
     return storage.read_layer(spark, path, "test").select(*_ROUND_TRIP)
 
 
-@query("a10_string_report_export")
+_JSON = """CASE WHEN {c} = '' THEN '[]' WHEN {c} IS NOT NULL THEN '["' || REPLACE({c}, '|', '","') || '"]' END AS {c}"""
+
+
+@query(
+    "a10_string_report_export",
+    check(
+        f"""SELECT * REPLACE ({r('null_gap_test_minus_train')} AS null_gap_test_minus_train,
+            {_JSON.format(c='sample_values_train')}, {_JSON.format(c='sample_values_test')}) FROM aligned WHERE has_difference""",
+        *ALIGNED_STRINGS,
+    ),
+)
 def a10_string_report_export(spark, sf_dir):
     folder = shared_folder(spark, "reports")
     drift.string_drift_report(audit_train(spark, sf_dir), audit_test(spark, sf_dir), export_dir=folder, tag="raw")
-    return storage.read_csv(spark, reports.report_path(folder, "string_alignment", "raw", "deltas"))
+    return rounded(_typed(storage.read_csv(spark, reports.report_path(folder, "string_alignment", "raw", "deltas"))))
 
 
-@query("a11_numeric_report_export")
+@query("a11_numeric_report_export", check(number_select() + TOP_NUMBERS + " LIMIT 10", *ALIGNED_NUMBERS))
 def a11_numeric_report_export(spark, sf_dir):
     folder = shared_folder(spark, "reports")
     drift.numeric_drift_report(audit_train(spark, sf_dir), audit_test(spark, sf_dir), export_dir=folder, tag="clean")
-    return rounded(storage.read_csv(spark, reports.report_path(folder, "numerical_alignment", "clean", "top_deltas")))
+    return rounded(_typed(storage.read_csv(spark, reports.report_path(folder, "numerical_alignment", "clean", "top_deltas"))))
 
 
 @query(

@@ -150,16 +150,24 @@ def normalise(
 def empty_lines(spark: SparkSession, path: str | Sequence[str], source: str | None = None, quoted_newlines: bool = True) -> DataFrame:
     """(source_file, file_count, empty_lines): lines without any character, which the CSV reader swallows.
 
-    With quoted newlines a line inside quotes is no record; the running quote count per file tells
-    (such files are read by one task each anyway).
+    With quoted newlines a line inside quotes is no record; the number of quotes before it tells.
+    Quotes are summed per block of a file, the few block sums are added up along the file, and only
+    the lines of one block are ordered together.
     """
     rows = text_lines(spark, path, source)
     is_empty = F.col("value") == ""
     if quoted_newlines:
+        block = ["source_file", "file", "block"]
         quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-        before = W.partitionBy("source_file", "file").orderBy("block", "line_id").rowsBetween(W.unboundedPreceding, -1)
-        rows = rows.withColumn("_open", F.coalesce(F.sum(quotes).over(before), F.lit(0)) % 2)
-        is_empty = is_empty & (F.col("_open") == 0)
+        rows = rows.select(*block, "line_id", is_empty.alias("is_empty"), quotes.alias("quotes"))
+        earlier = W.partitionBy("source_file", "file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+        offsets = rows.groupBy(*block).agg(F.sum("quotes").alias("q")).select(
+            *block, F.coalesce(F.sum("q").over(earlier), F.lit(0)).alias("offset")
+        )
+        before = W.partitionBy(*block).orderBy("line_id").rowsBetween(W.unboundedPreceding, -1)
+        open_quotes = (F.col("offset") + F.coalesce(F.sum("quotes").over(before), F.lit(0))) % 2
+        rows = rows.join(offsets, block).withColumn("open", open_quotes)
+        is_empty = F.col("is_empty") & (F.col("open") == 0)
     per_file = rows.groupBy("source_file", "file").agg(F.count_if(is_empty).alias("empty"))
     return per_file.groupBy("source_file").agg(
         F.count(F.lit(1)).alias("file_count"), F.sum("empty").alias("empty_lines")
