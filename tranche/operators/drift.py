@@ -80,8 +80,8 @@ def schema_summary(train: DataFrame, test: DataFrame) -> DataFrame:
         of("train", "columns").alias("train_cols"),
         of("test", "columns").alias("test_cols"),
     )
-    # Two one-row tables side by side.
-    return sizes.withColumn("_k", F.lit(1)).join(compared.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    both = sizes.unionByName(compared, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def schema_deltas(compared: DataFrame) -> DataFrame:

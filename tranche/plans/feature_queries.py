@@ -376,12 +376,11 @@ def a12_model_load(spark, sf_dir):
     scored = training.score(model, df).agg(
         F.count(F.lit(1)).alias("scored_rows"), F.round(F.avg("predicted_probability"), 6).alias("mean_probability")
     )
-    one = F.lit(1).alias("one")
-    parts = [metadata.select("selected_model", "row_identifier", "train_rows", one), keys.select("*", one)]
-    result = scored.select("*", one)
-    for part in parts:
-        result = result.join(part, "one")
-    return result.drop("one")
+    parts = [metadata.select("selected_model", "row_identifier", "train_rows"), keys, scored]
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 @query("a14_model_save")

@@ -70,14 +70,11 @@ def first_tabular_lines(spark: SparkSession, path: str | Sequence[str], source:
 
 def header_consistency(spark: SparkSession, path: str | Sequence[str], source: str | None = None) -> DataFrame:
     """Whether each file has the header of the first source (by name)."""
-    headers = first_tabular_lines(spark, path, source)
-    expected = headers.agg(F.min_by("header", "source_file").alias("expected")).withColumn("_k", F.lit(1))
-    # One row.
+    expected = F.array(*[F.lit(name) for name in read_header(spark, path, source)])
     return (
-        headers.withColumn("_k", F.lit(1))
-        .join(F.broadcast(expected), "_k")
+        first_tabular_lines(spark, path, source)
         .groupBy("source_file")
-        .agg(F.min(F.col("header").eqNullSafe(F.col("expected"))).alias("matches_reference_schema"))
+        .agg(F.min(F.col("header").eqNullSafe(expected)).alias("matches_reference_schema"))
         .orderBy("source_file")
     )
 
