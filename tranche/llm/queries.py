@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tranche.llm import decontamination, simhash
-from tranche.llm.common import read_table
+from tranche.llm import decontamination, line_dedup, simhash, toxicity
+from tranche.llm.common import read_table, training_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,3 +43,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_decontamination")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_line_dedup", line_dedup.ORACLE_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(read_table(spark, sf_dir, "documents"), sites=line_dedup.SITES, counts=True)
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = toxicity.scores(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+    predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0)
+    return found.select("doc_id", (~training_fold()).alias("held_out"), "score", predicted.alias("predicted"))
