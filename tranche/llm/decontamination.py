@@ -115,6 +115,17 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, least_chars: int, block_chars: int) -> Iterator[pa.Table]:
+    """The items of at least ``least_chars`` characters in blocks of about ``block_chars``, dealt by hash, one at a time."""
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
+    items = items.where(F.length("text") >= least_chars)
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-chars // block_chars)
+    for block in range(blocks):
+        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
+        yield some.toArrow()
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -134,29 +145,28 @@ def contaminated(
     shipped in blocks of at most ``block_chars`` characters, each a pass over the documents.
     """
     kinds = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
-    items = items.where(F.length("text") >= least_chars)
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // block_chars)
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, end long"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for block in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        found = picked.mapInArrow(scan(some.toArrow(), rate, least_chars), schema)
-        out = out.union(found) if block else found
-    return out
+    out = None
+    for items in item_blocks(benchmark, item_id, item_text, least_chars, block_chars):
+        found = picked.mapInArrow(scan(items, rate, least_chars), schema)
+        out = found if out is None else out.union(found)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def long_enough(items: pa.Table, least_chars: int) -> list[tuple[int, str]]:
+    """Position and normal text of the items that are long enough in normal form too."""
+    texts = ((n, normal(t.as_py())) for n, t in enumerate(items.column(1)))
+    return [x for x in texts if len(x[1]) >= least_chars]
 
 
 def scan(items: pa.Table, rate: float, least_chars: int):
     """A function over batches ``(doc_id, text)`` that reports the matches of these items."""
-    texts = [(n, normal(t.as_py())) for n, t in enumerate(items.column(1))]
-    keys, texts = items.column(0).combine_chunks(), [x for x in texts if len(x[1]) >= least_chars]
+    keys, texts = items.column(0).combine_chunks(), long_enough(items, least_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = None
+        block = Items(texts, rate)
         for batch in batches:
-            block = block or Items(texts, rate)
             found = [(row, *match) for row, text in enumerate(batch.column(1)) for match in block.matches(normal(text.as_py()))]
             rows, which, distances, ends = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -172,10 +182,27 @@ def scan(items: pa.Table, rate: float, least_chars: int):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item. All columns are kept.
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    rate: float = 0.05,
+    least_chars: int = 20,
+    block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with all their columns. Each row is judged by its own text."""
+    column = docs.columns.index(text)
+
+    def without(texts: list[tuple[int, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = Items(texts, rate)
+            for batch in batches:
+                yield batch.filter(pa.array([not block.matches(normal(t.as_py())) for t in batch.column(column)], pa.bool_()))
+
+        return run
 
-    A row goes if any row of its id is contaminated. Rows without an id are judged together as one document.
-    """
-    bad = contaminated(docs, benchmark, doc_id, text, **options).select("doc_id").distinct()
-    return docs.join(bad, docs[doc_id].eqNullSafe(bad["doc_id"]), "left_anti")
+    for items in item_blocks(benchmark, item_id, item_text, least_chars, block_chars):
+        docs = docs.mapInArrow(without(long_enough(items, least_chars)), docs.schema)
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tranche.llm import decontamination, line_dedup, simhash, toxicity
+from tranche.llm import decontamination, line_dedup, sentencepiece_codec, simhash, toxicity
 from tranche.llm.common import read_table, training_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +57,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.scores(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
     predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0)
     return found.select("doc_id", (~training_fold()).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query("op6_sentencepiece")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = sentencepiece_codec.encode(docs, sentencepiece_codec.load(sentencepiece_codec.public_model()), verify=True)
+    return found.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "restored")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
