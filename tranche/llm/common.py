@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tranche.plans.session import shared_folder, written_once
 
-__all__ = ["components", "fresh", "keyed", "read_table", "shared_folder", "training_fold", "written_once"]
+#: Labelled rows that a model is fitted on, at most about as many; the choice hangs on the id alone.
+SAMPLE_ROWS = 20_000
+
+__all__ = ["SAMPLE_ROWS", "components", "fresh", "keyed", "labelled_sample", "read_table", "shared_folder", "training_fold", "written_once"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +35,19 @@ def training_fold(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1, F.lit(True))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``(text, label)`` of about ``most_rows`` training rows, chosen by a hash of the id, so alike on every run.
+
+    Ids labelled twice count with their largest label. The chosen labels are few by this bound and are broadcast.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & training_fold())
+    known = known.groupBy("doc_id").agg(F.max(label).alias("label"))
+    rows = known.count()
+    if rows > most_rows:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(most_rows / rows * (1 << 20)))
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label")
+
+
 def components(edges: DataFrame, purpose: str = "components", most_rounds: int = 60) -> DataFrame:
     """Connected components of the edges ``(a, b)``: rows ``(node, root)``, root the smallest node reachable.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tranche.llm import decontamination, line_dedup, sentencepiece_codec, simhash, toxicity
+from tranche.llm import decontamination, line_dedup, order_minhash, quality, sentencepiece_codec, simhash, toxicity
 from tranche.llm.common import read_table, training_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op7_order_minhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edit_report(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = quality.scores(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return found.select("doc_id", (~training_fold()).alias("held_out"), "score", predicted.alias("predicted"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tranche.llm.common import training_fold
+from tranche.llm.common import SAMPLE_ROWS, labelled_sample
 
 #: Insults that need no labels.
 TERMS = ("idiot", "moron", "loser", "stupid", "trash", "scum", "clown", "pathetic", "worthless", "disgusting")
@@ -32,8 +32,6 @@ PLAIN, QUOTED, DIRECTED = 0, 1, 2
 #: Hits and misses that the labels are added to, by distance and by window: what is believed without any label.
 PRIOR = {0: (9.0, 1.0), 1: (4.0, 1.0), 2: (2.0, 2.0)}
 WINDOW_PRIOR = {PLAIN: (0.0, 0.0), QUOTED: (0.0, 8.0), DIRECTED: (2.0, 0.0)}
-#: Labelled rows that a model is fitted on, at most about as many; the choice hangs on the id alone.
-SAMPLE_ROWS = 20_000
 STEMS = range(3, 9)
 #: Share of toxic documents among those with a learnt form, at least.
 LEAST_SHARE = 0.6
@@ -219,19 +217,6 @@ def window(low: str, start: int, end: int) -> int:
     return QUOTED if reported else PLAIN
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``(text, label)`` of about ``most_rows`` training rows, chosen by a hash of the id, so alike on every run.
-
-    Ids labelled twice count with their largest label. The chosen labels are few by this bound and are broadcast.
-    """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & training_fold())
-    known = known.groupBy("doc_id").agg(F.max(label).alias("label"))
-    rows = known.count()
-    if rows > most_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(most_rows / rows * (1 << 20)))
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label")
-
-
 def forms(text: str) -> set[tuple[str, bool]]:
     """The words of a text, and as stems what at least two of its words begin with."""
     tokens = Counter(w for w in words(text) if len(w) >= 3 and not w.isdigit())
