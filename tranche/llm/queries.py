@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tranche.llm import decontamination, line_dedup, order_minhash, quality, sentencepiece_codec, simhash, toxicity
+from tranche.llm import decontamination, line_dedup, order_minhash, quality, sentencepiece_codec, simhash, toxicity, warc
 from tranche.llm.common import read_table, training_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.scores(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
     predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
     return found.select("doc_id", (~training_fold()).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query("op4_warc", warc.ORACLE_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
