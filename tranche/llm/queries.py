@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tranche.llm import decontamination, line_dedup, order_minhash, pii, quality, sentencepiece_codec, simhash, toxicity, warc
+from tranche.llm import decontamination, licenses, line_dedup, order_minhash, pii, quality, sentencepiece_codec, simhash, toxicity, warc
 from tranche.llm.common import read_table, training_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_pii")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read_table(spark, sf_dir, "documents"))
+
+
+@query("op3_license_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: a site's folder, a language's below it, and one for each thousand ids below that."""
+    docs = read_table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000), F.concat("doc_id", F.lit(".txt")))
+    found = licenses.scan(docs.select("doc_id", "text", path.alias("path")), file_id="doc_id")
+    return found.withColumnRenamed("file_id", "doc_id")
