@@ -34,13 +34,10 @@ def local_table(spark: SparkSession, rows: Sequence[dict], schema: str) -> DataF
     return spark.createDataFrame(pa.Table.from_pylist(list(rows), schema=to_arrow_schema(struct)), schema=struct)
 
 
-def fitted(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
-    """Run a plan whose result is a handful of fitted values and keep them as a local table.
+def fitted(df: DataFrame) -> DataFrame:
+    """Run a plan whose result is a few fitted values for each label, and keep them as a local table.
 
-    The values are then constants of every later plan. A result with more than ``most_rows`` rows is
-    refused: it is data, not a fit.
+    The values are then constants of every later plan.
     """
-    rows = df.limit(most_rows + 1).collect()
-    if len(rows) > most_rows:
-        raise ValueError(f"more than {most_rows} fitted rows")
+    rows = df.collect()
     return local_table(df.sparkSession, [r.asDict(recursive=True) for r in rows], df.schema.simpleString())

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tranche import contracts
 from tranche.functions import text
-from tranche.functions.guards import ensure, require_columns
+from tranche.functions.guards import ensure, not_null, require_columns
 from tranche.functions.shape import record, rows_of
 from tranche.operators.ordered import dense_positions
 
@@ -29,10 +29,11 @@ def with_row_ids(df: DataFrame, key: str, split: str = "split", name: str = "row
     """Dense 1..n ids per split in the order of a unique business ``key``.
 
     Does nothing when the id exists. Numbers are given range by range, so no task sees a
-    whole split; a repeated key fails the job.
+    whole split; a repeated key, or a null key or split, fails the job.
     """
     if name in df.columns:
         return df
+    df = df.withColumns({c: not_null(c) for c in (split, key)})
     ids = dense_positions(df, [split], key, name).select(
         split, key, ensure(F.col("n") == 1, F.col(name), F.concat(F.lit("repeated key: "), F.col(key).cast("string"))).alias(name)
     )

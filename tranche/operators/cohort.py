@@ -114,11 +114,16 @@ def with_issue_year(df: DataFrame, date: str = "issue_d", output: str = "issue_y
 
 
 def status_by_year(
-    df: DataFrame, statuses: Sequence[str], year: str = "issue_year", status: str = "loan_status", split: str = "split"
+    df: DataFrame, statuses: Sequence[str] | None = None, year: str = "issue_year", status: str = "loan_status",
+    split: str = "split",
 ) -> DataFrame:
-    """Zero-filled crosstab; the fixed status list keeps the pivot to one pass."""
+    """Zero-filled crosstab of every status. A given list saves the pass that finds them; one outside it fails the job."""
+    if statuses is None:
+        statuses = sorted(r[0] for r in df.select(status).distinct().collect() if r[0] is not None)
+    listed = ensure(F.col(status).isin(*statuses), F.col(status), F.concat(F.lit("unlisted status: "), F.coalesce(status, F.lit("null"))))
     return (
-        df.groupBy(F.col(split).alias("dataset_split"), year)
+        df.select(F.col(split).alias("dataset_split"), year, listed.alias(status))
+        .groupBy("dataset_split", year)
         .pivot(status, list(statuses))
         .agg(F.count(F.lit(1)))
         .na.fill(0)

@@ -298,10 +298,13 @@ def risk_bands(
 ) -> DataFrame:
     """Loans in equal-count score bands: size, mean score, observed rate, optionally pricing.
 
-    Interest rates given in percent (largest value of the dataset above 1) are shown as shares.
+    Interest rates given in percent (largest value of the dataset above 1) are shown as shares. A null score, a
+    target other than 0 or 1, and a dataset without any interest rate fail the job.
     """
     require_columns(df, score, target, dataset, *([interest_rate] if interest_rate else []))
-    base = df.select(dataset, F.col(score).alias("_p"), F.col(target).alias("_y"), *([interest_rate] if interest_rate else []))
+    base = df.select(
+        dataset, not_null(score).alias("_p"), binary_target(target).alias("_y"), *([interest_rate] if interest_rate else [])
+    )
     edges = ordered.bin_edges(base, [dataset], "_p", bands)
     banded = ordered.with_bin(base, edges, [dataset], "_p", bands)
     aggs = [
@@ -317,7 +320,8 @@ def risk_bands(
 
         medians = ordered.exact_quantiles(banded.filter(F.col("bin").isNotNull()), [dataset, "bin"], interest_rate, [0.5])
         # The top rate per band is already aggregated: this window sees at most ``bands`` rows.
-        scale = F.when(F.max("_top").over(W.partitionBy(dataset)) > 1.0, 100.0).otherwise(1.0)
+        top = F.max("_top").over(W.partitionBy(dataset))
+        scale = F.when(ensure(top.isNotNull(), top, "interest rates are all missing") > 1.0, 100.0).otherwise(1.0)
         table = (
             table.join(F.broadcast(medians), [dataset, "bin"], "left")
             .withColumn("_scale", scale)

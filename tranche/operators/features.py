@@ -14,8 +14,6 @@ from tranche.functions.guards import ensure, require_columns
 from tranche.functions.shape import record, rows_of
 from tranche.operators import ordered, profile
 
-# A one-hot column exists per category: beyond this the feature is an identifier, not a category.
-MOST_CATEGORIES = 2000
 WEIGHT_METHODS = ("sqrt", "log", "raw")
 
 
@@ -51,24 +49,25 @@ def category_table(train: DataFrame, features: Sequence[str]) -> DataFrame:
     return placed.select("feature_name", "position", "category")
 
 
-def category_lists(train: DataFrame, features: Sequence[str]) -> dict[str, list[str]]:
-    """The category table as fitted state: {feature: sorted categories}.
+def category_lists(train: DataFrame, features: Sequence[str], most: int | None = None) -> dict[str, list[str]]:
+    """The category table as fitted state: {feature: sorted categories}, each to become a column.
 
-    A feature with more than ``MOST_CATEGORIES`` values is refused, as it cannot become columns.
+    With ``most``, a feature of more categories is refused before any of them are collected.
     """
     names = _unique(features)
     require_columns(train, *names)
     long = train.select(*[F.col(n).cast("string").alias(n) for n in names]).unpivot(
         [], names, "feature_name", "category"
     )
-    most = MOST_CATEGORIES * len(names)
-    rows = long.filter(F.col("category").isNotNull()).distinct().limit(most + 1).collect()
+    seen = long.filter(F.col("category").isNotNull()).distinct()
+    if most is not None:
+        sizes = {r.feature_name: r["count"] for r in seen.groupBy("feature_name").count().collect()}
+        too_many = sorted(n for n, size in sizes.items() if size > most)
+        if too_many:
+            raise ContractViolation(f"too many categories for one-hot columns: {too_many}")
     lists: dict[str, list[str]] = {n: [] for n in names}
-    for r in rows:
+    for r in seen.collect():
         lists[r.feature_name].append(r.category)
-    too_many = [n for n, v in lists.items() if len(v) > MOST_CATEGORIES]
-    if too_many or len(rows) > most:
-        raise ContractViolation(f"too many categories for one-hot columns: {too_many or names}")
     return {n: sorted(v) for n, v in lists.items()}
 
 
@@ -84,13 +83,6 @@ def one_hot(df: DataFrame, categories: dict[str, Sequence[str]]) -> DataFrame:
     return df.select(*kept, *flags)
 
 
-def train_medians(train: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature_name, median): exact train medians; a feature without values has no row."""
-    names = _unique(features)
-    require_columns(train, *names)
-    return profile.medians_of(profile.value_counts(train, names), []).withColumnRenamed("column_name", "feature_name")
-
-
 def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
     """Fill nulls with the fitted medians (as double)."""
     require_columns(df, *medians)

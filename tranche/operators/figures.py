@@ -7,13 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tranche import contracts
 from tranche.functions.guards import ensure, require_columns
 from tranche.functions.shape import record
 from tranche.operators import evaluation
 from tranche.operators.cohort import SPLITS, split_rank
 
+# The grades, of which each has five subgrades.
+GRADES = tuple("abcdefg")
 
-def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFrame:
+
+def histogram(df: DataFrame, columns: Sequence[str], bins: int = 40) -> DataFrame:
     """(column_name, bin, bin_low, bin_high, count): equal-width bins from min to max, the last one closed.
 
     A column with a single value gets the usual half-unit margin on both sides. Two passes: limits,
@@ -121,14 +125,21 @@ def economic_difference(matched: DataFrame, value: str = "net_value_with_opportu
 
 
 def grade_slices(normalised: DataFrame, split: str = "split", grade: str = "grade") -> DataFrame:
-    """(split, grade, sub_grade, share): the five own subgrades of every grade."""
+    """(split, grade, sub_grade, share): the five own subgrades of every grade.
+
+    A split must have one row for each of the seven grades; otherwise the call fails.
+    """
+    counted = normalised.groupBy(split).agg(F.count(grade).alias("rows"), F.count_distinct(grade).alias("grades"))
+    broken = counted.filter((F.col("rows") != len(GRADES)) | (F.col("grades") != len(GRADES)))
+    contracts.enforce(broken.select(F.lit("one row per split and grade").alias("contract"), F.col(split), F.lit(1).alias("violations")))
     columns = [c for c in normalised.columns if c not in (split, grade)]
     long = normalised.unpivot([split, grade], columns, "sub_grade", "share")
     return long.filter(F.substring("sub_grade", 1, 1) == F.col(grade)).orderBy(split_rank(split), grade, "sub_grade")
 
 
 def split_pivot(table: DataFrame, category: str, value: str, split: str = "dataset_split", splits: Sequence[str] = tuple(SPLITS)) -> DataFrame:
-    """One row per category, one value column per split."""
+    """One row per category, one value column per split; a split outside the list fails the job."""
+    table = table.withColumn(split, ensure(F.col(split).isin(*splits), F.col(split), "unlisted split"))
     return table.groupBy(category).pivot(split, list(splits)).agg(F.max(value)).orderBy(category)
 
 

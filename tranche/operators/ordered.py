@@ -23,13 +23,10 @@ from pyspark.sql.window import Window as W
 
 from tranche.functions.shape import fitted, record
 
-# Upper bound for the ranges per label; keeps both broadcasts small.
-MOST_RANGES = 512
-
 
 def ranges_for(spark: SparkSession) -> int:
-    """As many ranges as there are shuffle partitions, within fixed bounds."""
-    return max(8, min(MOST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """As many ranges as there are shuffle partitions: both broadcasts have a row or value for each of these and label."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _cuts_before(value: Column, most: int, descending: bool) -> Column:
@@ -69,7 +66,7 @@ def _cut_into_ranges(
         .groupBy(*by)
         .agg(F.sort_array(F.collect_list(value), asc=not descending).alias("_cuts"))
     )
-    # Bounded broadcast: one row per label, at most MOST_RANGES - 1 values in it.
+    # Bounded broadcast: one row per label, fewer values in it than there are ranges.
     rows = totals.join(F.broadcast(cuts), by).select(
         *by, value, *weights, _cuts_before(F.col(value), wanted, descending).alias("_range")
     )
@@ -119,7 +116,7 @@ def running_totals(
         *[f"all_{w}" for w in weights],
         *(["_next_head"] if with_next else []),
     )
-    # Bounded broadcast: at most MOST_RANGES rows per label.
+    # Bounded broadcast: at most a row per label and range.
     joined = cut.rows.join(F.broadcast(offsets), [*by, "_range"])
     order = F.col(value).desc() if descending else F.col(value).asc()
     inside = W.partitionBy(*by, "_range").orderBy(order)
@@ -168,7 +165,7 @@ def select_ranks(
         .select(*by, "_range", "_offset_n", "_targets")
     )
     inside = W.partitionBy(*by, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    # Bounded broadcast: at most MOST_RANGES rows per label.
+    # Bounded broadcast: at most a row per label and range.
     placed = cut.rows.join(F.broadcast(hit), [*by, "_range"]).select(
         *by,
         value,

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tranche.functions.guards import require_columns
+from tranche.functions.guards import ensure, require_columns
 from tranche.functions.shape import local_table, record, rows_of
 from tranche.functions.text import strip
 from tranche.operators import ordered
-from tranche.operators.cohort import split_rank
+from tranche.operators.cohort import SPLITS, split_rank
 
 # Types whose values are exact in a double; bigint and decimal keep their own text.
 _DOUBLE_SAFE = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
@@ -355,9 +355,10 @@ def year_range(df: DataFrame, year: str = "issue_year", split: str = "split") ->
 
 
 def status_by_split(df: DataFrame, status: str = "loan_status", split: str = "split") -> DataFrame:
-    """Status counts per split, null as a status, absent ones 0."""
+    """Status counts per split, null as a status, absent ones 0. A split other than train or test fails the job."""
     return (
-        df.groupBy(status)
+        df.select(status, ensure(F.col(split).isin(*SPLITS), F.col(split), "split must be train or test").alias(split))
+        .groupBy(status)
         .agg(
             F.count_if(F.col(split) == "train").alias("train_count"),
             F.count_if(F.col(split) == "test").alias("test_count"),
@@ -366,15 +367,13 @@ def status_by_split(df: DataFrame, status: str = "loan_status", split: str = "sp
     )
 
 
-def status_shares(df: DataFrame, status: str = "loan_status") -> DataFrame:
-    """Counts per status (null included) with their percent of all rows.
+def status_shares(df: DataFrame, status: str = "loan_status", by: Sequence[str] = ()) -> DataFrame:
+    """Counts per label and status (null included) with their percent of all rows of the label.
 
-    The total is taken over the counted statuses, one row per status.
+    Statuses are gathered as one small map a label, so the totals come from the same aggregation.
     """
-    counts = df.groupBy(status).agg(F.count(F.lit(1)).alias("count")).withColumn("_all", F.lit(1))
-    total = F.sum("count").over(W.partitionBy("_all"))
-    return (
-        counts.withColumn("percentage", F.round(F.col("count") / total * 100, 2))
-        .drop("_all")
-        .orderBy(F.desc("count"), status)
-    )
+    counts = df.groupBy(*by, status).agg(F.count(F.lit(1)).alias("count"))
+    totals = counts.groupBy(*by).agg(F.sum("count").alias("_all"), F.collect_list(F.struct(status, "count")).alias("_each"))
+    each = totals.select(*by, "_all", F.inline("_each"))
+    share = F.round(F.col("count") / F.col("_all") * 100, 2).alias("percentage")
+    return each.select(*by, status, "count", share).orderBy(*by, F.desc("count"), status)

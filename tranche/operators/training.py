@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tranche import contracts
@@ -71,6 +71,24 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
 
 
+def _growable(depth: int) -> int:
+    if depth > DEEPEST_TREE:
+        raise ValueError(f"Spark grows trees of at most {DEEPEST_TREE} levels; asked for {depth}")
+    return depth
+
+
+def _class_weights(train: DataFrame, target: str, class_weight: str | dict[int, float] | None) -> Column | None:
+    """Row weights from class weights; "balanced" gives every class the same total."""
+    if class_weight is None:
+        return None
+    if class_weight == "balanced":
+        sizes = {r[0]: r[1] for r in train.groupBy(target).agg(F.count(F.lit(1))).collect()}
+        class_weight = {c: sum(sizes.values()) / (len(sizes) * n) for c, n in sizes.items()}
+    if not isinstance(class_weight, dict) or not {0, 1} <= set(class_weight):
+        raise ValueError('class_weight must be "balanced" or hold a weight for 0 and for 1')
+    return F.when(F.col(target) == 1, F.lit(float(class_weight[1]))).otherwise(F.lit(float(class_weight[0])))
+
+
 def logistic_regression(
     train: DataFrame,
     features: Sequence[str],
@@ -78,12 +96,18 @@ def logistic_regression(
     max_iter: int = 1000,
     inverse_penalty: float = 1.0,
     weight: str | None = None,
+    class_weight: str | dict[int, float] | None = None,
 ) -> tuple[PipelineModel, dict]:
     """L2 logistic regression with the penalty given as C; returns the model and how the fit went.
 
     Spark averages the loss over rows, so C on the summed loss is a penalty of 1 / (C n).
     """
+    if weight and class_weight:
+        raise ValueError("give either row weights or class weights")
     rows = training_contract(train, features, target)
+    weights = _class_weights(train, target, class_weight)
+    if weights is not None:
+        train, weight = train.withColumn("_weight", weights), "_weight"
     estimator = LogisticRegression(
         labelCol=target,
         maxIter=max_iter,
@@ -106,19 +130,32 @@ def random_forest(
     trees: int = 300,
     max_depth: int | None = None,
     min_leaf: int = 1,
+    max_features: str = "sqrt",
+    min_split: int = 2,
+    class_weight: str | dict[int, float] | None = None,
     seed: int = 42,
 ) -> tuple[PipelineModel, dict]:
-    """Forest on sqrt(features) per split; ``max_depth=None`` means as deep as Spark allows."""
+    """Forest on ``max_features`` per split; ``max_depth=None`` means as deep as Spark allows.
+
+    Spark's trees split any node that leaves ``min_leaf`` rows on both sides: a larger ``min_split`` is refused.
+    """
+    if min_split > max(2, 2 * min_leaf):
+        raise ValueError("min_split has no counterpart beyond what min_leaf implies")
+    if max_features not in ("sqrt", "log2", "all", "onethird") and not max_features.replace(".", "", 1).isdigit():
+        raise ValueError(f"max_features is not known to Spark: {max_features}")
     rows = training_contract(train, features, target)
-    depth = DEEPEST_TREE if max_depth is None else min(max_depth, DEEPEST_TREE)
+    depth = DEEPEST_TREE if max_depth is None else _growable(max_depth)
+    weights = _class_weights(train, target, class_weight)
     estimator = RandomForestClassifier(
         labelCol=target,
         numTrees=trees,
         maxDepth=depth,
         minInstancesPerNode=min_leaf,
-        featureSubsetStrategy="sqrt",
+        featureSubsetStrategy=max_features,
         seed=seed,
     )
+    if weights is not None:
+        train, estimator = train.withColumn("_weight", weights), estimator.setWeightCol("_weight")
     model = Pipeline(stages=[_assembler(features), estimator]).fit(train)
     return model, {"rows": rows, "trees": trees, "max_depth": depth, "seed": seed}
 
@@ -160,7 +197,7 @@ def boosted_trees(
         labelCol=target,
         maxIter=iterations,
         stepSize=learning_rate,
-        maxDepth=min(depth, DEEPEST_TREE),
+        maxDepth=_growable(depth),
         maxBins=max(2, bins),
         lossType="logistic",
         seed=seed,
@@ -210,13 +247,16 @@ def stratified_holdout(
     )
 
 
-def draw_trials(trials: int, seed: int = 42) -> list[dict]:
-    """Seeded random-search settings."""
+def draw_trials(trials: int, seed: int = 42, ranges: dict[str, tuple] | None = None) -> list[dict]:
+    """Seeded random-search settings from ``ranges``: whole numbers below the upper end, or any between the ends."""
+    ranges = SEARCH_RANGES | (ranges or {})
+    if set(ranges) != set(SEARCH_RANGES):
+        raise ValueError(f"unknown settings: {sorted(set(ranges) - set(SEARCH_RANGES))}")
     rng = np.random.default_rng(seed)
     draws = []
     for _ in range(trials):
         setting = {}
-        for name, (low, high) in SEARCH_RANGES.items():
+        for name, (low, high) in ranges.items():
             whole = isinstance(low, int)
             setting[name] = int(rng.integers(low, high)) if whole else float(rng.uniform(low, high))
         draws.append(setting)
@@ -234,11 +274,11 @@ def random_search(
     holdout_share: float = 0.2,
     seed: int = 42,
     parallelism: int = 2,
-    iteration_cap: int | None = None,
+    ranges: dict[str, tuple] | None = None,
 ) -> tuple[dict, DataFrame]:
     """Fit every trial on 80 %, rank by exact AUC on the stratified rest: (best setting, results).
 
-    Trials are independent Spark jobs and may overlap. ``iteration_cap`` shortens trial fits.
+    Trials are independent Spark jobs and may overlap. ``ranges`` replaces ranges that settings are drawn from.
     """
     if trials <= 0:
         raise ValueError("trials must be positive")
@@ -247,18 +287,17 @@ def random_search(
 
     def run(number_and_setting):
         number, setting = number_and_setting
-        iterations = min(setting["iterations"], iteration_cap) if iteration_cap else setting["iterations"]
         model, _ = boosted_trees(
-            fit_rows, features, target, categorical, weight, iterations,
+            fit_rows, features, target, categorical, weight, setting["iterations"],
             setting["learning_rate"], setting["depth"], setting["border_count"], seed,
         )
         scored = score(model, check_rows).withColumn("_trial", F.lit(number))
         area = evaluation.auc(scored, ["_trial"], target, "predicted_probability").first()["auc"]
-        return {"trial_index": number, "roc_auc": area, **setting, "iterations": iterations}
+        return {"trial_index": number, "roc_auc": area, **setting}
 
     try:
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            results = list(pool.map(run, enumerate(draw_trials(trials, seed))))
+            results = list(pool.map(run, enumerate(draw_trials(trials, seed, ranges))))
     finally:
         parts.unpersist()
     best = max(results, key=lambda r: (r["roc_auc"], -r["trial_index"]))

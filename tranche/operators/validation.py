@@ -18,11 +18,19 @@ SUBGRADES = [f"{g}{n}" for g in "abcdefg" for n in range(1, 6)]
 
 
 def align_clean_rows(
-    clean: DataFrame, modeled: DataFrame, key: Sequence[str] = ("split", "row_id"), target: str = "target_default"
+    clean: DataFrame, modeled: DataFrame, key: Sequence[str] = ("split", "row_id"), target: str = "target_default",
+    enforced: bool = True,
 ) -> DataFrame:
-    """The clean rows of the modeled loans, with the target derived from the status where absent."""
+    """The clean rows of the modeled loans, with the target derived from the status where absent.
+
+    Keys must be unique on both sides and every modeled key must be clean; otherwise the call fails.
+    """
     require_columns(clean, *key)
     require_columns(modeled, *key)
+    if enforced:
+        contracts.enforce(
+            contracts.all_of(contracts.unique_key(clean, *key), contracts.unique_key(modeled, *key), missing_keys(modeled, clean, *key))
+        )
     kept = clean.join(modeled.select(*key), list(key), "left_semi")
     if target not in kept.columns:
         require_columns(kept, "loan_status")
@@ -32,6 +40,12 @@ def align_clean_rows(
     return kept.withColumn(target, ensure(F.col(target).isNotNull(), F.col(target), f"{target} must not be null"))
 
 
+def missing_keys(wanted: DataFrame, present: DataFrame, *key: str) -> DataFrame:
+    """(contract, violations): keys of ``wanted`` that ``present`` lacks."""
+    both = contracts.same_keys(wanted, present, *key)
+    return both.filter(F.col("contract") == "keys_missing_on_right")
+
+
 def alignment_contracts(clean_rows: DataFrame, modeled: DataFrame, key: Sequence[str] = ("split", "row_id")) -> DataFrame:
     """Unique keys on both sides and no key missing from either: (contract, violations)."""
     return contracts.all_of(
@@ -45,9 +59,10 @@ def validation_dataset(
     modeled: DataFrame, clean_rows: DataFrame, model, key: Sequence[str] = ("split", "row_id"),
     score: str = "predicted_default_probability",
 ) -> DataFrame:
-    """Score the modeled rows and attach the probability to their clean rows, one to one."""
+    """Score the modeled rows and attach the probability to their clean rows, one to one; anything else fails."""
     from pyspark.ml.functions import vector_to_array
 
+    contracts.enforce(alignment_contracts(clean_rows, modeled, key))
     scored = model.transform(modeled).select(*key, vector_to_array("probability")[1].alias(score))
     return clean_rows.join(scored, list(key))
 
@@ -101,12 +116,13 @@ def subgrade_pivot(
     distribution: DataFrame, split: str = "split", grade: str = "grade", subgrade: str = "sub_grade",
     count: str = "loan_count", subgrades: Sequence[str] = tuple(SUBGRADES),
 ) -> DataFrame:
-    """Rows (split, grade), a zero-filled count column per subgrade; repeated keys fail the job.
+    """Rows (split, grade), a zero-filled count column per subgrade; repeated keys and unlisted subgrades fail the job.
 
     Rows come in plain text order of the split (test before train), as the reference table does.
     """
     require_columns(distribution, split, grade, subgrade, count)
-    checked = distribution.groupBy(split, grade, subgrade).agg(
+    known = ensure(F.col(subgrade).isin(*subgrades), F.col(subgrade), F.concat(F.lit("unknown subgrade: "), F.coalesce(subgrade, F.lit("null"))))
+    checked = distribution.withColumn(subgrade, known).groupBy(split, grade, subgrade).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(count).alias("_c")
     )
     single = checked.withColumn("_c", ensure(F.col("_n") == 1, F.col("_c"), "repeated split, grade and subgrade"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tranche.operators import drift, profile
+from tranche.operators.cohort import SPLITS
 from tranche.plans.audit_frames import (
     FRAMES_SQL,
     NULLS_SQL,
@@ -90,14 +91,23 @@ def _both(spark, sf_dir):
     return audit_train(spark, sf_dir), audit_test(spark, sf_dir)
 
 
-@query("b1_inspect", check("SELECT * FROM train_inspect", *_INSPECTS))
+def _each(table: str, columns: str = "*") -> str:
+    return f"SELECT {columns}, 'train' AS split FROM train_{table} UNION ALL SELECT {columns}, 'test' AS split FROM test_{table}"
+
+
+def _of_both(spark, sf_dir, audit):
+    train, test = (audit(df).withColumn("split", F.lit(s)) for df, s in zip(_both(spark, sf_dir), SPLITS, strict=True))
+    return train.unionByName(test)
+
+
+@query("b1_inspect", check(_each("inspect"), *_INSPECTS))
 def b1_inspect(spark, sf_dir):
-    return profile.inspect(audit_train(spark, sf_dir))
+    return _of_both(spark, sf_dir, profile.inspect)
 
 
-@query("b2_audit_strings", check("SELECT * FROM train_strings", *_STRINGS))
+@query("b2_audit_strings", check(_each("strings"), *_STRINGS))
 def b2_audit_strings(spark, sf_dir):
-    audit = profile.audit_strings(audit_train(spark, sf_dir))
+    audit = _of_both(spark, sf_dir, profile.audit_strings)
     return audit.withColumn("sample_values", F.array_join("sample_values", "|"))
 
 
@@ -107,15 +117,15 @@ def _numbers_sql(side: str, extra: str = "") -> str:
         FROM {side}_numbers"""
 
 
-@query("b3_audit_numbers", check(_numbers_sql("train"), *_NUMBERS))
+@query("b3_audit_numbers", check(_numbers_sql("train", ", 'train' AS split") + " UNION ALL " + _numbers_sql("test", ", 'test' AS split"), *_NUMBERS))
 def b3_audit_numbers(spark, sf_dir):
-    return rounded(profile.audit_numbers(audit_train(spark, sf_dir)))
+    return rounded(_of_both(spark, sf_dir, profile.audit_numbers))
 
 
 @query(
     "b4_residual_text",
     check(
-        rf"""SELECT 'train' AS dataset_split, column_name, 'string' AS dtype, missing_count, missing_rate_percent,
+        " UNION ALL ".join(rf"""SELECT '{side}' AS dataset_split, column_name, 'string' AS dtype, missing_count, missing_rate_percent,
             unique_count_including_missing, COALESCE(array_to_string(samples, ' | '), 'no non-missing values') AS sample_values,
             COALESCE(len(list_filter(samples, lambda x: regexp_matches(x, '[%$,]')
               OR regexp_matches(REPLACE(regexp_replace(regexp_replace(x, '\.', ''), '-', ''), '%', ''), '^[0-9]+$'))) > 0, false)
@@ -123,12 +133,14 @@ def b3_audit_numbers(spark, sf_dir):
             FROM (SELECT column_name, COUNT(*) - COUNT(value) AS missing_count, {_PERCENT} AS missing_rate_percent,
                 {n('COUNT(DISTINCT value) + MAX(CAST(value IS NULL AS INT))')} AS unique_count_including_missing,
                 list_sort(list(DISTINCT value) FILTER (WHERE value IS NOT NULL))[1:5] AS samples
-                FROM train_long WHERE column_name IN ({_names(TRAIN_TYPES, 'string')}) GROUP BY column_name)""",
+                FROM {side}_long WHERE column_name IN ({_names(types, 'string')}) GROUP BY column_name)"""
+            for side, types in (("train", TRAIN_TYPES), ("test", TEST_TYPES))),
         *FRAMES_SQL,
     ),
 )
 def b4_residual_text(spark, sf_dir):
-    return profile.residual_text(audit_train(spark, sf_dir), "train")
+    train, test = _both(spark, sf_dir)
+    return profile.residual_text(train, "train").unionByName(profile.residual_text(test, "test"))
 
 
 @query("b5_schema_compare", check("SELECT * FROM schema_nulls", *NULLS_SQL))
@@ -209,12 +221,12 @@ def b10_issue_counts(spark, sf_dir):
     "b11_issue_examples",
     check(
         """SELECT column_name, issue, applies_to FROM issues
-           QUALIFY ROW_NUMBER() OVER (PARTITION BY issue ORDER BY column_name, applies_to) <= 1""",
+           QUALIFY ROW_NUMBER() OVER (PARTITION BY issue ORDER BY column_name, applies_to) <= 5""",
         *_ISSUES_SQL,
     ),
 )
 def b11_issue_examples(spark, sf_dir):
-    return drift.issue_examples(_issues(spark, sf_dir), per_issue=1)
+    return drift.issue_examples(_issues(spark, sf_dir))
 
 
 _ACTION_CASE = "CASE issue " + " ".join(f"WHEN '{i}' THEN '{a}'" for i, a in drift.ACTIONS.items()) + " END"
@@ -511,9 +523,9 @@ def b31_status_by_split(spark, sf_dir):
 @query(
     "b32_status_shares",
     check(
-        """SELECT loan_status, COUNT(*) AS count, ROUND(COUNT(*) / SUM(COUNT(*)) OVER () * 100, 2) AS percentage
-           FROM clean WHERE split = 'train' GROUP BY loan_status"""
+        """SELECT split, loan_status, COUNT(*) AS count, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY split) * 100, 2) AS percentage
+           FROM clean GROUP BY split, loan_status"""
     ),
 )
 def b32_status_shares(spark, sf_dir):
-    return profile.status_shares(train_of(clean_loans(raw_loans(spark, sf_dir))))
+    return profile.status_shares(clean_loans(raw_loans(spark, sf_dir)), by=["split"])

@@ -287,19 +287,21 @@ def d6_issue_year(spark, sf_dir):
     return cohort.with_issue_year(dated).select("split", "row_id", "issue_year")
 
 
+_PLAIN = ["charged_off", "current", "fully_paid"]
+_STATUSES = [*_PLAIN, *[f"does_not_meet_the_credit_policy._status:{s}" for s in _PLAIN]]
+
+
 @query(
     "d7_status_by_year",
     check(
-        """SELECT split AS dataset_split, issue_year,
-        COUNT(*) FILTER (WHERE loan_status = 'current') AS current,
-        COUNT(*) FILTER (WHERE loan_status = 'fully_paid') AS fully_paid,
-        COUNT(*) FILTER (WHERE loan_status = 'charged_off') AS charged_off
-        FROM clean GROUP BY split, issue_year"""
+        "SELECT split AS dataset_split, issue_year, "
+        + ", ".join(f"COUNT(*) FILTER (WHERE loan_status = '{s}') AS \"{s}\"" for s in _STATUSES)
+        + ", COUNT(*) AS all_loans FROM clean GROUP BY split, issue_year"
     ),
 )
 def d7_status_by_year(spark, sf_dir):
-    clean = clean_loans(raw_loans(spark, sf_dir))
-    return cohort.status_by_year(clean, ["current", "fully_paid", "charged_off"])
+    table = cohort.status_by_year(clean_loans(raw_loans(spark, sf_dir)), _STATUSES)
+    return table.withColumn("all_loans", sum((F.col(f"`{s}`") for s in _STATUSES), F.lit(0).cast("bigint")))
 
 
 _RATE_BY_YEAR = """rate_by_year AS (SELECT issue_year, split AS dataset_split, ROUND(AVG(target_default) * 100, 2) AS default_rate_percent,

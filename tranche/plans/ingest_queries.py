@@ -19,28 +19,40 @@ from tranche.sources import dirty_csv, reports, storage
 
 HEADER = ["id", "cust", "status", "note"]
 # The rows that do not belong to the table, by their place in the file.
-PROSPECTUS = "Notes offered by Prospectus"
+PROSPECTUS = '"Notes, offered by Prospectus"'
+# The year whose files have their columns in another order, and the year whose files have no header.
+REORDERED_YEAR, HEADLESS_YEAR = 1995, 1996
+REORDERED = ["note", "cust", "id", "status"]
 FOOTER = "Total amount funded in policy code 1"
 BLOCK = 500_000
 SOURCE = "CAST(YEAR(o_orderdate) AS VARCHAR) || '_' || CAST(o_orderkey // 500000 AS VARCHAR)"
 
 
+def _head(names) -> str:
+    return ",".join(f'"{h}"' for h in names)
+
+
 def write_dirty_orders(spark, sf_dir, line_breaks: bool = True) -> str:
-    """Text files with preamble, header, repeated header, blank, short and long rows, and a footer."""
+    """Text files with preamble, header, repeated header, blank, short and long rows, and a footer.
+
+    One year's files have their columns in another order, and another year's have no header.
+    """
     orders = table(spark, sf_dir, "orders").withColumn(
         "source", F.concat_ws("_", F.year("o_orderdate").cast("string"), F.floor(F.col("o_orderkey") / BLOCK).cast("string"))
     )
     key = F.col("o_orderkey")
     quoted = F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit(', ""late""'), F.lit("\nnext line" if line_breaks else ""), F.lit('"'))
-    line = F.concat_ws(
-        ",",
-        key.cast("string"),
-        F.col("o_custkey").cast("string"),
-        F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit('"')),
-        F.when(key % 10 == 0, quoted).otherwise(F.col("o_orderpriority")),
-    )
+    cells = {
+        "id": key.cast("string"),
+        "cust": F.col("o_custkey").cast("string"),
+        "status": F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit('"')),
+        "note": F.when(key % 10 == 0, quoted).otherwise(F.col("o_orderpriority")),
+    }
+    year = F.year("o_orderdate")
+    in_order = lambda names: F.concat_ws(",", *[cells[c] for c in names])
+    line = F.when(year == REORDERED_YEAR, in_order(REORDERED)).otherwise(in_order(HEADER))
     data = orders.select("source", (key * 10 + 100).alias("place"), line.alias("value"))
-    head = ",".join(f'"{h}"' for h in HEADER)
+    head = F.when(F.col("year") == REORDERED_YEAR, _head(REORDERED)).when(F.col("year") != HEADLESS_YEAR, _head(HEADER))
     first, last = F.col("first"), F.col("last")
     extra = F.array(
         record(place=F.lit(0).cast("bigint"), value=PROSPECTUS),
@@ -55,8 +67,9 @@ def write_dirty_orders(spark, sf_dir, line_breaks: bool = True) -> str:
     )
     noise = (
         orders.groupBy("source")
-        .agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+        .agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"), F.min(year).alias("year"))
         .select("source", F.inline(extra))
+        .filter(F.col("value").isNotNull())
     )
     path = shared_folder(spark, "dirty")
     (
@@ -91,26 +104,29 @@ def a1_normalise_splittable(spark, sf_dir):
 
 @query(
     "a2_normalisation_counts",
-    f"""SELECT {SOURCE} AS source_file, COUNT(*) + 9 AS source_row_count, COUNT(*) + 1 AS staged_row_count,
-        CAST(4 AS BIGINT) AS removed_non_tabular_row_count, CAST(1 AS BIGINT) AS removed_repeated_header_row_count,
-        CAST(3 AS BIGINT) AS removed_blank_row_count FROM orders GROUP BY 1""",
+    f"""SELECT source_file, n + 7 + 2 * h AS source_row_count, n + h AS staged_row_count,
+        CAST(4 AS BIGINT) AS removed_non_tabular_row_count, h AS removed_repeated_header_row_count,
+        CAST(3 AS BIGINT) AS removed_blank_row_count FROM (
+        SELECT {SOURCE} AS source_file, COUNT(*) AS n, CAST(MAX(YEAR(o_orderdate)) <> {HEADLESS_YEAR} AS BIGINT) AS h FROM orders GROUP BY 1)""",
 )
 def a2_normalisation_counts(spark, sf_dir):
     return dirty_csv.normalisation_counts(spark, write_dirty_orders(spark, sf_dir), source="source")
 
 
-_LINE = '''o_orderkey || ',' || o_custkey || ',"' || o_orderstatus || '",' ||
-    CASE WHEN o_orderkey % 10 = 0 THEN '"' || o_orderpriority || ', ""late""' || '"' ELSE o_orderpriority END'''
-_HEAD = ",".join(f'"{h}"' for h in HEADER)
+_NOTE = '''CASE WHEN o_orderkey % 10 = 0 THEN '"' || o_orderpriority || ', ""late""' || '"' ELSE o_orderpriority END'''
+_LINE = f'''CASE WHEN YEAR(o_orderdate) = {REORDERED_YEAR}
+    THEN {_NOTE} || ',' || o_custkey || ',' || o_orderkey || ',"' || o_orderstatus || '"'
+    ELSE o_orderkey || ',' || o_custkey || ',"' || o_orderstatus || '",' || {_NOTE} END'''
+_HEAD = f"CASE WHEN y = {REORDERED_YEAR} THEN '{_head(REORDERED)}' ELSE '{_head(HEADER)}' END"
 
 
 @query(
     "a3_preview",
-    f"""WITH o AS (SELECT {SOURCE} AS source_file, o_orderkey * 10 + 100 AS place, {_LINE} AS line, o_orderkey FROM orders),
-        e AS (SELECT source_file, MIN(o_orderkey) * 10 AS f, MAX(o_orderkey) * 10 AS l FROM o GROUP BY 1),
+    f"""WITH o AS (SELECT {SOURCE} AS source_file, o_orderkey * 10 + 100 AS place, {_LINE} AS line, o_orderkey, YEAR(o_orderdate) AS y FROM orders),
+        e AS (SELECT source_file, MIN(o_orderkey) * 10 AS f, MAX(o_orderkey) * 10 AS l, MAX(y) AS y FROM o GROUP BY 1),
         lines AS (SELECT source_file, place, line FROM o
-          UNION ALL SELECT source_file, 0, '{PROSPECTUS}' FROM e UNION ALL SELECT source_file, 1, '{_HEAD}' FROM e
-          UNION ALL SELECT source_file, f + 101, '{_HEAD}' FROM e UNION ALL SELECT source_file, f + 102, '' FROM e
+          UNION ALL SELECT source_file, 0, '{PROSPECTUS}' FROM e UNION ALL SELECT source_file, 1, {_HEAD} FROM e WHERE y <> {HEADLESS_YEAR}
+          UNION ALL SELECT source_file, f + 101, {_HEAD} FROM e WHERE y <> {HEADLESS_YEAR} UNION ALL SELECT source_file, f + 102, '' FROM e
           UNION ALL SELECT source_file, f + 103, ',,,' FROM e UNION ALL SELECT source_file, f + 104, ',,' FROM e
           UNION ALL SELECT source_file, f + 105, '1,2' FROM e UNION ALL SELECT source_file, f + 106, '1,2,3,4,5' FROM e
           UNION ALL SELECT source_file, l + 109, '{FOOTER}' FROM e),
@@ -123,7 +139,7 @@ def a3_preview(spark, sf_dir):
     return dirty_csv.preview(spark, write_dirty_orders(spark, sf_dir, line_breaks=False), source="source")
 
 
-@query("a4_header_consistency", f"SELECT DISTINCT {SOURCE} AS source_file, true AS matches_reference_schema FROM orders")
+@query("a4_header_consistency", f"SELECT DISTINCT {SOURCE} AS source_file, YEAR(o_orderdate) NOT IN ({REORDERED_YEAR}, {HEADLESS_YEAR}) AS matches_reference_schema FROM orders")
 def a4_header_consistency(spark, sf_dir):
     return dirty_csv.header_consistency(spark, write_dirty_orders(spark, sf_dir), source="source")
 

@@ -124,18 +124,14 @@ def p5_cutoff_sweep(spark, sf_dir):
     return outcomes_rounded(base_sweep(spark, sf_dir))
 
 
-@query("p6_model_artifact", check(_final("model_outcomes", "WHERE policy_value IN (0.05, 0.25, 0.45)"), *_PAIRS_SQL))
+@query("p6_model_artifact", check(_final("model_outcomes"), *_PAIRS_SQL))
 def p6_model_artifact(spark, sf_dir):
-    loans = scored_loans(spark, sf_dir)
-    parts = [policy.policy_outcomes(policy.threshold_policy(loans, t), "model_threshold", t) for t in (0.45, 0.05, 0.25)]
-    return outcomes_rounded(policy.outcome_artifact(*parts))
+    return outcomes_rounded(policy.outcome_artifact(model_sweep(spark, sf_dir)))
 
 
-@query("p7_baseline_artifact", check(_final("base_outcomes", "WHERE policy_value IN ('a5', 'e5')"), *_PAIRS_SQL))
+@query("p7_baseline_artifact", check(_final("base_outcomes"), *_PAIRS_SQL))
 def p7_baseline_artifact(spark, sf_dir):
-    loans = modeled_loans(raw_loans(spark, sf_dir))
-    parts = [policy.policy_outcomes(policy.cutoff_policy(loans, c), "baseline_subgrade", c) for c in ("e5", "a5")]
-    return outcomes_rounded(policy.outcome_artifact(*parts))
+    return outcomes_rounded(policy.outcome_artifact(base_sweep(spark, sf_dir)))
 
 
 @query("p8_net_value_model", check(_final("model_valued"), *_VALUED_SQL))
@@ -366,7 +362,7 @@ def _histogram_sql(parts: dict[str, str], source: str, bins: int) -> tuple[str,
 _PLOTTED = ["loan_amnt", "annual_inc", "dti", "open_acc"]
 
 
-@query("k1_histograms", check("SELECT * FROM hist", *_histogram_sql({c: c for c in _PLOTTED}, "clean", 30)))
+@query("k1_histograms", check("SELECT * FROM hist", *_histogram_sql({c: c for c in _PLOTTED}, "clean", 40)))
 def k1_histograms(spark, sf_dir):
     return rounded(figures.histogram(clean_loans(raw_loans(spark, sf_dir)), _PLOTTED))
 

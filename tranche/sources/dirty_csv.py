@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tranche.contracts import ContractViolation
 from tranche.functions.guards import require_columns
 
+# Text between quotes, in a line.
+QUOTED = '"[^"]*"'
 PREVIEW_LINES = 8
 PREVIEW_WIDTH = 250
 ROW_CLASSES = ["data", "header", "non_tabular", "blank"]
@@ -61,15 +65,22 @@ def preview(spark: SparkSession, path: str | Sequence[str], source: str | None =
 
 
 def first_tabular_lines(spark: SparkSession, path: str | Sequence[str], source: str | None = None) -> DataFrame:
-    """(source_file, header): cell names of the first line with more than one cell, per file."""
-    rows = text_lines(spark, path, source).filter(F.col("value").contains(","))
+    """(source_file, file, header): cell names of the first line with more than one cell, per file.
+
+    A comma between quotes separates nothing, so a quoted sentence is one cell.
+    """
+    bare = F.regexp_replace("value", QUOTED, "")
+    rows = text_lines(spark, path, source).filter(bare.contains(","))
     first = F.row_number().over(W.partitionBy("source_file", "file").orderBy("block", "line_id"))
-    cells = F.transform(F.split(F.trim("value"), ","), lambda c: F.regexp_replace(c, '^"+|"+$', ""))
-    return rows.withColumn("rank", first).filter(F.col("rank") == 1).select("source_file", cells.alias("header"))
+    found = rows.withColumn("rank", first).filter(F.col("rank") == 1)
+    # Quoted cells are kept whole: a comma counts where an even number of quotes follows it.
+    cells = F.split(F.trim("value"), r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    plain = F.transform(cells, lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"')))
+    return found.select("source_file", "file", plain.alias("header"))
 
 
 def header_consistency(spark: SparkSession, path: str | Sequence[str], source: str | None = None) -> DataFrame:
-    """Whether each file has the header of the first source (by name)."""
+    """Whether each file has the reference header, in its order."""
     expected = F.array(*[F.lit(name) for name in read_header(spark, path, source)])
     return (
         first_tabular_lines(spark, path, source)
@@ -80,21 +91,48 @@ def header_consistency(spark: SparkSession, path: str | Sequence[str], source: s
 
 
 def read_header(spark: SparkSession, path: str | Sequence[str], source: str | None = None) -> list[str]:
-    """The header as fitted state: cell names of the first tabular line of the first source."""
-    row = first_tabular_lines(spark, path, source).agg(F.min_by("header", "source_file").alias("h")).first()
+    """The reference header: the first tabular line that most files share, of equals that of the first source.
+
+    A line with a number, an empty cell or a name twice is a header only where no file has a better one.
+    """
+    cell = F.col("header")
+    odd = F.exists(cell, lambda c: c.try_cast("double").isNotNull() | (c == "")) | (F.size(F.array_distinct(cell)) < F.size(cell))
+    shared = first_tabular_lines(spark, path, source).groupBy("header").agg(F.count(F.lit(1)).alias("n"), F.min("source_file").alias("at"))
+    row = shared.agg(F.min_by("header", F.struct(odd, -F.col("n"), "at")).alias("h")).first()
     if row is None or row.h is None:
         raise ValueError("no line with more than one cell")
     return list(row.h)
 
 
+def other_layouts(
+    spark: SparkSession, path: str | Sequence[str], header: Sequence[str], source: str | None = None
+) -> list[tuple[list[str], list[str]]]:
+    """(columns in the file's order, files) for files that don't start with the reference header.
+
+    The same names in another order are that order; as many cells of which none is a name are a file without a header. Files that
+    disagree otherwise fail the call. Only the paths of such files come to the driver.
+    """
+    expected = F.array(*[F.lit(name) for name in header])
+    rest = first_tabular_lines(spark, path, source).filter(~F.col("header").eqNullSafe(expected))
+    reordered = F.array_sort("header").eqNullSafe(F.array_sort(expected))
+    headless = (F.size("header") == len(header)) & ~F.arrays_overlap("header", expected)
+    order = F.when(reordered, F.col("header")).when(headless, expected)
+    groups = rest.groupBy(order.alias("order")).agg(F.collect_list("file").alias("files"), F.min("source_file").alias("first")).collect()
+    for g in groups:
+        if g.order is None:
+            raise ContractViolation(f"{len(g.files)} files have other columns than {list(header)}; the first is of {g.first}")
+    return [(list(g.order), sorted(g.files)) for g in groups]
+
+
 def classified_rows(
     spark: SparkSession,
     path: str | Sequence[str],
     header: Sequence[str],
     source: str | None = None,
     quoted_newlines: bool = True,
+    files: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Every record with its class: data, header, non_tabular or blank.
+    """Every record with its class: data, header, non_tabular or blank. ``files`` picks some of those below ``path``.
 
     All cells are read as text; records of another arity land in the corrupt-record column.
     Files with quoted newlines cannot be split by Spark; pass False for files without them and
@@ -115,7 +153,9 @@ def classified_rows(
         .option("enforceSchema", True)
     )
     # The file metadata is selected at the read, where it is available.
-    rows = reader.csv(path)
+    if files and source and isinstance(path, str):
+        reader = reader.option("basePath", path)
+    rows = reader.csv(list(files) if files else path)
     name = F.col(source).cast("string") if source else F.col("_metadata.file_name")
     cells = F.array(*names)
     no_cell = ~F.exists(cells, lambda c: c.isNotNull() & (F.trim(c) != ""))
@@ -126,7 +166,16 @@ def classified_rows(
         .when(cells == F.array(*[F.lit(h) for h in header]), "header")
         .otherwise("data")
     )
-    return rows.select(name.alias("source_file"), row_class.alias("row_class"), *names)
+    return rows.select(name.alias("source_file"), F.col("_metadata.file_path").alias("file"), row_class.alias("row_class"), *names)
+
+
+def _by_layout(spark, path, header, source, quoted_newlines) -> list[tuple[Sequence[str], DataFrame]]:
+    """The classified rows of the files with the reference layout, then those of each other layout."""
+    others = other_layouts(spark, path, header, source)
+    odd = [f for _, files in others for f in files]
+    usual = classified_rows(spark, path, header, source, quoted_newlines)
+    parts = [(header, usual.filter(~F.col("file").isin(odd)) if odd else usual)]
+    return parts + [(order, classified_rows(spark, path, order, source, quoted_newlines, files)) for order, files in others]
 
 
 def normalise(
@@ -136,12 +185,16 @@ def normalise(
     source: str | None = None,
     quoted_newlines: bool = True,
 ) -> DataFrame:
-    """Tabular rows of the files as text columns named by the header, with ``source_file``."""
+    """Tabular rows of the files as text columns named by the header, with ``source_file``.
+
+    Each file is read by its own header, or by the reference header where it has none.
+    """
     header = list(header) if header else read_header(spark, path, source)
-    rows = classified_rows(spark, path, header, source, quoted_newlines)
-    return rows.filter(F.col("row_class") == "data").select(
-        "source_file", *[F.col(f"_c{i}").alias(h) for i, h in enumerate(header)]
-    )
+    parts = [
+        rows.filter(F.col("row_class") == "data").select("source_file", *[F.col(f"_c{order.index(h)}").alias(h) for h in header])
+        for order, rows in _by_layout(spark, path, header, source, quoted_newlines)
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def empty_lines(spark: SparkSession, path: str | Sequence[str], source: str | None = None, quoted_newlines: bool = True) -> DataFrame:
@@ -178,20 +231,23 @@ def normalisation_counts(
     source: str | None = None,
     quoted_newlines: bool = True,
 ) -> DataFrame:
-    """Rows seen, staged (with one header per file) and removed, per source."""
+    """Rows seen, staged (with the one header of a file that has one) and removed, per source."""
     header = list(header) if header else read_header(spark, path, source)
-    rows = classified_rows(spark, path, header, source, quoted_newlines)
-    counted = rows.groupBy("source_file").agg(
+    parts = [rows.select("source_file", "file", "row_class") for _, rows in _by_layout(spark, path, header, source, quoted_newlines)]
+    per_file = reduce(DataFrame.unionByName, parts).groupBy("source_file", "file").agg(
         *[F.count_if(F.col("row_class") == c).alias(c) for c in ROW_CLASSES]
     )
+    counted = per_file.groupBy("source_file").agg(
+        *[F.sum(c).alias(c) for c in ROW_CLASSES], F.sum(F.least("header", F.lit(1))).alias("own_headers")
+    )
     joined = counted.join(empty_lines(spark, path, source, quoted_newlines), "source_file")
     seen: Column = sum((F.col(c) for c in ROW_CLASSES), F.col("empty_lines"))
     return joined.select(
         "source_file",
         seen.alias("source_row_count"),
-        (F.col("data") + F.least("header", "file_count")).alias("staged_row_count"),
+        (F.col("data") + F.col("own_headers")).alias("staged_row_count"),
         F.col("non_tabular").alias("removed_non_tabular_row_count"),
-        F.greatest(F.col("header") - F.col("file_count"), F.lit(0)).alias("removed_repeated_header_row_count"),
+        (F.col("header") - F.col("own_headers")).alias("removed_repeated_header_row_count"),
         (F.col("blank") + F.col("empty_lines")).alias("removed_blank_row_count"),
     ).orderBy("source_file")
 
