@@ -10,7 +10,10 @@ from tranche.plans.session import shared_folder, written_once
 #: Labelled rows that a model is fitted on, at most about as many; the choice hangs on the id alone.
 SAMPLE_ROWS = 20_000
 
-__all__ = ["SAMPLE_ROWS", "components", "fresh", "keyed", "labelled_sample", "read_table", "shared_folder", "training_fold", "written_once"]
+#: Rows and bytes that a Python task gets at once. The first document of a batch always fits.
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+__all__ = ["SAMPLE_ROWS", "components", "fresh", "keyed", "labelled_sample", "map_batches", "read_table", "shared_folder", "training_fold", "written_once"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +28,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of few rows, as texts are long. Sets the session's limits to ``ARROW_LIMITS``."""
+    for key, most in ARROW_LIMITS.items():
+        df.sparkSession.conf.set(key, most)
+    return df.mapInArrow(run, schema)
+
+
 def keyed(doc_id: str | Column, text: str | Column) -> list[Column]:
     """128 bits that name a row by its content: equal rows get equal keys, also after a lost task is run again."""
     return [F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(F.lit(1), doc_id, text).alias("k2")]

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tranche.llm.common import map_batches
+
 #: Characters of benchmark items that are shipped to the tasks at once; a larger benchmark is scanned in as many passes.
 BLOCK_CHARS = 4_000_000
 
@@ -149,7 +151,7 @@ def contaminated(
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, end long"
     out = None
     for items in item_blocks(benchmark, item_id, item_text, least_chars, block_chars):
-        found = picked.mapInArrow(scan(items, rate, least_chars), schema)
+        found = map_batches(picked, scan(items, rate, least_chars), schema)
         out = found if out is None else out.union(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -204,5 +206,5 @@ def clean(
         return run
 
     for items in item_blocks(benchmark, item_id, item_text, least_chars, block_chars):
-        docs = docs.mapInArrow(without(long_enough(items, least_chars)), docs.schema)
+        docs = map_batches(docs, without(long_enough(items, least_chars)), docs.schema)
     return docs

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tranche.llm.common import map_batches
+
 K = 12
 SLOTS = 64
 TUPLE = 2
@@ -126,7 +128,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             found = [digits(sketch(kmer_hashes(code_points(t.as_py() or "")))) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp string").withColumnRenamed("fp", "fingerprint")
+    return map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, fp string").withColumnRenamed("fp", "fingerprint")
 
 
 def edited(text: str, following: str) -> str:
@@ -199,7 +201,7 @@ def edit_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mos
             columns = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    found = dealt(picked, most_chars).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fp string, edited_fp string, near_edited double, near_next double")
+    found = map_batches(dealt(picked, most_chars), run, "doc_id long, n_chars long, edited_sha256 string, fp string, edited_fp string, near_edited double, near_next double")
     return found.withColumnsRenamed({"fp": "fingerprint", "edited_fp": "edited_fingerprint"}).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tranche.llm.common import SAMPLE_ROWS, labelled_sample
+from tranche.llm.common import SAMPLE_ROWS, labelled_sample, map_batches
 
 NAMES = (
     "chars", "words", "lines", "mean_word", "spread_word", "longest_word", "upper", "digit", "blank", "comma", "stop",
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = SAMPLE_ROWS, **opti
 
     sample = labelled_sample(docs, labels, "quality", most_rows)
     # In one order whatever the partitions: sums of floats hang on it.
-    rows = sorted((r["x"], r["label"]) for r in sample.mapInArrow(run, "x array<double>, label int").collect())
+    rows = sorted((r["x"], r["label"]) for r in map_batches(sample, run, "x array<double>, label int").collect())
     x = np.array([r[0] for r in rows]).reshape(-1, len(NAMES))
     return grow(x, np.array([r[1] for r in rows], float), **options)
 
@@ -155,4 +155,4 @@ def scores(docs: DataFrame, trees: Trees, doc_id: str = "doc_id", text: str = "t
                 x = np.array([statistics(t.as_py()) for t in batch.column(1)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees.score(x))], names=["doc_id", "score"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, score double")

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tranche.llm.common import fresh
+from tranche.llm.common import fresh, map_batches
 
 MARK = "▁"
 #: Log score of a byte piece: below any piece of the vocabulary by this much for each byte.
@@ -142,7 +142,7 @@ def build(pieces: list[str], scores: np.ndarray, bytes_at: np.ndarray, normal: l
 class Codec:
     """Encodes and decodes whole texts. Remembers chunks, up to a bound."""
 
-    MOST_CHUNKS = 400_000
+    MOST_CHUNKS = 200_000
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -316,10 +316,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", verify:
                     more.append(pa.array([codec.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
-def sliced(batch: pa.RecordBatch, column: int, most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, column: int, most_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with texts of at most ``most_bytes``, or one text."""
     sizes = [0 if not x.is_valid else len(x.as_buffer()) for x in batch.column(column)]
     start = total = 0
@@ -344,4 +344,4 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", t
             texts = [codec.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in batch.column(column)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
 
-    return encoded.mapInArrow(run, schema)
+    return map_batches(encoded, run, schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tranche.llm.common import SAMPLE_ROWS, labelled_sample
+from tranche.llm.common import SAMPLE_ROWS, labelled_sample, map_batches
 
 #: Insults that need no labels.
 TERMS = ("idiot", "moron", "loser", "stupid", "trash", "scum", "clown", "pathetic", "worthless", "disgusting")
@@ -151,7 +151,7 @@ def smoothed(toxic: float, clean: float, edits: int, window: int) -> float:
 class Scorer:
     """Finds and weighs the hits of whole texts. Remembers words, up to a bound."""
 
-    MOST_WORDS = 300_000
+    MOST_WORDS = 100_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -256,7 +256,7 @@ def learn_terms(sample: DataFrame, known: Iterable[str], most_chance: float = 0.
             columns = [[k[0] for k in keys], [k[1] for k in keys], [toxic[k] for k in keys], [clean[k] for k in keys]]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=["form", "stem", "toxic", "clean"])
 
-    counted = sample.mapInArrow(count, "form string, stem boolean, toxic long, clean long")
+    counted = map_batches(sample, count, "form string, stem boolean, toxic long, clean long")
     counted = counted.groupBy("form", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     totals = sample.agg(F.count("*").alias("n"), F.sum(F.expr("int(label = 1)")).alias("toxic")).first()
     if not totals["toxic"] or totals["toxic"] == totals["n"]:
@@ -275,7 +275,7 @@ def learn_terms(sample: DataFrame, known: Iterable[str], most_chance: float = 0.
 
     scorer = Automaton(known)
     held: dict[str, set[int]] = defaultdict(set)
-    for n, row in enumerate(sample.where("label = 1").mapInArrow(holders, "forms array<string>").collect()):
+    for n, row in enumerate(map_batches(sample.where("label = 1"), holders, "forms array<string>").collect()):
         if not any(f[0] == "-" and scorer.hit(f[1:]) for f in row["forms"]):
             for f in row["forms"]:
                 held[f].add(n)
@@ -309,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, terms: Iterable[str] = TERMS, most_r
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["term", "edits", "place", "often", "label", "n"])
 
         counts: dict[tuple[int, int, int, int], list[int]] = defaultdict(lambda: [0, 0])
-        found = sample.mapInArrow(count, "term long, edits long, place long, often long, label long, n long")
+        found = map_batches(sample, count, "term long, edits long, place long, often long, label long, n long")
         for r in found.groupBy("term", "edits", "place", "often", "label").agg(F.sum("n").alias("n")).collect():
             counts[r["term"], r["edits"], r["place"], r["often"]][r["label"]] += r["n"]
     finally:
@@ -330,7 +330,7 @@ def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
             found = pa.array([scorer.score(t.as_py()) for t in batch.column(1)], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "score"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, score double")
 
 
 def acceptable(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
@@ -342,4 +342,4 @@ def acceptable(docs: DataFrame, model: Model, threshold: float = 0.7, text: str
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(t.as_py()) < threshold for t in batch.column(column)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

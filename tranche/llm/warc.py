@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tranche.llm.common import written_once
+from tranche.llm.common import map_batches, written_once
 
 #: Payloads of fewer bytes are always stored: a revisit record would be no shorter.
 LEAST_BYTES = 100
@@ -113,7 +113,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
         names, counts = zip(*done, strict=True) if done else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["archive", "records"])
 
-    return written_once(rows.mapInArrow(run, "archive string, records long"), "warc-archives")
+    return written_once(map_batches(rows, run, "archive string, records long"), "warc-archives")
 
 
 def start_folder(folder: str) -> None:
@@ -211,7 +211,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([n + ".idx" for n in names], pa.string()), pa.array(counts, pa.int64())], names=["index", "records"])
 
     each = archives.select("archive").repartition(max(1, archives.count()), "archive")
-    return written_once(each.mapInArrow(run, "index string, records long"), "warc-index")
+    return written_once(map_batches(each, run, "index string, records long"), "warc-index")
 
 
 def read_archives(indexes: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def read_archives(indexes: DataFrame) -> DataFrame:
                 names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return index.mapInArrow(run, schema)
+    return map_batches(index, run, schema)
 
 
 def number(record_id: str | None) -> int | None:
