@@ -116,11 +116,20 @@ def category_space(df: DataFrame, columns: Sequence[str], split: str = "split")
     return seen.join(codes, ["column_name", "category"]).select("column_name", "category", "code", "in_train", "in_test")
 
 
-def with_category_codes(df: DataFrame, space: DataFrame, column: str, output: str) -> DataFrame:
-    """Code of the row's category in the shared space (Spark picks the join by size at run time)."""
+def with_category_codes(df: DataFrame, space: DataFrame, column: str, output: str, most_inline: int = 1000) -> DataFrame:
+    """Code of the row's category in the shared space.
+
+    Up to ``most_inline`` categories become a constant of the plan, so rows are not shuffled by a few large categories;
+    more are joined.
+    """
     codes = space.filter(F.col("column_name") == column).select(
         F.col("category").alias(column), F.col("code").alias(output)
     )
+    few = codes.limit(most_inline + 1).collect()
+    if len(few) <= most_inline:
+        table = F.create_map(*[F.lit(x) for r in few for x in (r[0], r[1])]) if few else F.lit(None).cast("map<string,bigint>")
+        text = F.col(column).cast("string")
+        return df.withColumns({column: text, output: F.when(text.isNotNull(), F.try_element_at(table, text))})
     return df.withColumn(column, F.col(column).cast("string")).join(codes, column, "left")
 
 

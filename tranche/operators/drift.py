@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tranche.functions.guards import require_columns
-from tranche.functions.shape import local_table, record, rows_of
+from tranche.functions.shape import fitted, local_table, record, rows_of
 from tranche.functions.text import strip
 from tranche.operators import profile
 
@@ -428,7 +428,7 @@ def string_drift_report(
     """summary, deltas, top_deltas and value_differences; also written as CSV when a folder is given."""
     if drill_columns < 0 or drill_values <= 0:
         raise ValueError("drill_columns must not be negative and drill_values must be positive")
-    audits = string_audits(train, test, sample_size).persist()
+    audits = fitted(string_audits(train, test, sample_size))  # a row for each column and split
     combined = align_strings(audits)
     deltas = combined.filter("has_difference")
     top = top_string_deltas(deltas, top_k)
@@ -453,7 +453,7 @@ def numeric_drift_report(
     base_name: str = "numerical_alignment",
     tag: str | None = None,
 ) -> dict[str, DataFrame]:
-    audits = numeric_audits(train, test).persist()
+    audits = fitted(numeric_audits(train, test))  # a row for each column and split
     combined = align_numbers(audits)
     deltas = combined.filter("has_difference")
     report = {

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tranche import contracts
 from tranche.operators import cleaning, cohort, drift
 from tranche.plans.audit_frames import NULLS_SQL, audit_test, audit_train, with_nulls
-from tranche.plans.loans import clean_loans, modeled_loans, raw_loans, table
+from tranche.plans.loans import clean_loans, modeled_loans, raw_loans, stored_loans, table
 from tranche.plans.registry import check, n, query, r, rounded
 
 # Columns that leave the clean layer before modeling.
@@ -387,7 +387,8 @@ _QUANTILE_SQL = (
 
 
 def _quantile_rates(spark, sf_dir):
-    return rounded(cohort.rate_by_train_quantile(modeled_loans(raw_loans(spark, sf_dir)), _BINNED))
+    loans = stored_loans(spark, sf_dir, "split", "target_default", *_BINNED)
+    return rounded(cohort.rate_by_train_quantile(loans, _BINNED))
 
 
 @query("d13_rate_by_quantile", check("SELECT * FROM quantile_rates", *_QUANTILE_SQL))

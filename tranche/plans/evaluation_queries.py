@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tranche.functions import formats
 from tranche.functions.shape import record
 from tranche.operators import evaluation, validation
-from tranche.plans.loans import clean_loans, modeled_loans, raw_loans, test_of, train_of
+from tranche.plans.loans import clean_loans, modeled_loans, raw_loans, stored_loans, test_of, train_of
 from tranche.plans.registry import check, n, query, r, rounded
 
 
@@ -16,6 +16,12 @@ def scored_loans(spark, sf_dir):
     return modeled_loans(raw_loans(spark, sf_dir)).withColumn("predicted_default_probability", F.col("score"))
 
 
+def stored_scores(spark, sf_dir, *columns):
+    """Score, target and key of the modeled loans, written once for plans that fit bins first."""
+    loans = stored_loans(spark, sf_dir, "split", "row_id", "target_default", "score", *columns)
+    return loans.withColumns({"predicted_default_probability": F.col("score"), "dataset_name": F.col("split")})
+
+
 def two_models(spark, sf_dir):
     """The score and its mirror image as two scored models: one pass, one row per loan and model."""
     probabilities = F.array(
@@ -273,7 +279,7 @@ _MODEL_CALIBRATION = "SELECT * EXCLUDE (bin) FROM calib WHERE system_name = 'mod
 
 @query("v9_calibration", check(_MODEL_CALIBRATION, *_CALIBRATION_SQL))
 def v9_calibration(spark, sf_dir):
-    labelled = evaluation.label_system(scored_loans(spark, sf_dir), "model")
+    labelled = evaluation.label_system(stored_scores(spark, sf_dir), "model")
     return rounded(evaluation.calibration_table(labelled).drop("calibration_bin"))
 
 

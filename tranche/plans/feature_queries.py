@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tranche.functions.shape import local_table, record, rows_of
 from tranche.operators import drift, evaluation, features, training, validation
-from tranche.plans.loans import clean_loans, modeled_loans, raw_loans, train_of
+from tranche.plans.loans import clean_loans, modeled_loans, raw_loans, stored_loans, train_of
 from tranche.plans.registry import check, query, r, rounded
 from tranche.plans.session import shared_folder
 from tranche.sources import storage
@@ -39,7 +39,7 @@ def _modeled(spark, sf_dir):
 
 
 def _branches(spark, sf_dir):
-    return features.branches(_modeled(spark, sf_dir), RULES)
+    return features.branches(stored_loans(spark, sf_dir), RULES)
 
 
 @query(
@@ -94,7 +94,7 @@ _IMPUTED = ["dti", "revol_bal", "open_acc", "emp_length_years"]
     ),
 )
 def f4_median_imputation(spark, sf_dir):
-    modeled = _modeled(spark, sf_dir)
+    modeled = stored_loans(spark, sf_dir, "split", "row_id", *_IMPUTED)
     medians = features.fit_medians(train_of(modeled), _IMPUTED)
     return rounded(features.impute(modeled, medians).select("split", "row_id", *_IMPUTED))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tranche.functions import text
 from tranche.operators import cleaning, cohort
-from tranche.plans.session import utc
+from tranche.plans.session import utc, written_once
 
 # Order years before this one form the train split.
 FIRST_TEST_YEAR = 2000
@@ -104,6 +104,12 @@ def modeled_loans(loans: DataFrame) -> DataFrame:
     return cohort.with_target(cohort.terminal(clean_loans(loans)))
 
 
+def stored_loans(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the modeled loans, written once below the shared folder: for plans that fit first and apply then."""
+    modeled = modeled_loans(raw_loans(spark, sf_dir))
+    return written_once(modeled.select(*columns) if columns else modeled, "modeled")
+
+
 def train_of(df: DataFrame) -> DataFrame:
     return df.filter(F.col("split") == "train").drop("split")
 

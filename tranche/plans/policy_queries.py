@@ -15,6 +15,7 @@ from tranche.plans.evaluation_queries import (
     outcome_table,
     roc_sql,
     scored_loans,
+    stored_scores,
     two_models,
 )
 from tranche.plans.loans import clean_loans, modeled_loans, raw_loans
@@ -309,7 +310,7 @@ _BANDS_SELECT = """SELECT dataset_name, bin_order AS band_order, bin_low, bin_hi
 
 
 def _bands(spark, sf_dir, interest_rate=None):
-    labelled = scored_loans(spark, sf_dir).withColumn("dataset_name", F.col("split"))
+    labelled = stored_scores(spark, sf_dir, *([interest_rate] if interest_rate else []))
     return rounded(evaluation.risk_bands(labelled, interest_rate=interest_rate))
 
 
@@ -384,7 +385,7 @@ def k2_log_histograms(spark, sf_dir):
     ),
 )
 def k3_calibration_curve(spark, sf_dir):
-    labelled = scored_loans(spark, sf_dir).withColumn("dataset_name", F.col("split"))
+    labelled = stored_scores(spark, sf_dir)
     return rounded(figures.calibration_curve(labelled, "target_default", "score", ["dataset_name"]))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tranche.contracts import ContractViolation
+from tranche.contracts import ContractViolation, same_columns
 from tranche.functions.guards import require_columns
 
 # Text between quotes, in a line.
@@ -271,6 +271,8 @@ def concatenate(train_parts: Sequence[DataFrame], test_parts: Sequence[DataFrame
     for label, parts in (("train", train_parts), ("test", test_parts)):
         for p in parts:
             labelled = p.withColumn("split", F.lit(label))
+            if result is not None:
+                same_columns(result, labelled)
             result = labelled if result is None else result.unionByName(labelled)
     if result is None:
         raise ValueError("nothing to concatenate")
