@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tranche.llm.common import components, written_once
+from tranche.llm.common import components, map_batches, written_once
 
 BITS = 64
 SEED = 42
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return picked.mapInArrow(run, f"doc_id {kind}, fp long")
+    return map_batches(picked, run, f"doc_id {kind}, fp long")
 
 
 def hex_digits(fp: str | Column) -> Column:
@@ -82,12 +82,11 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
         raise ValueError("the distance must be even: half of it is the radius of the balls")
     masks = ball_masks(distance // 2)
     around = lambda c: F.explode(F.array(*[F.col(c).bitwiseXOR(F.lit(m)) for m in masks]))
-    met = (
-        fps.select("fp", around("fp").alias("variant"))
-        .groupBy("variant")
-        .agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n"))
-        .where("n > 1")
-    )
+    # Spread the few bytes of the fingerprints over all tasks before each of them becomes a ball.
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    met = spread.select("fp", around("fp").alias("variant")).groupBy("variant")
+    met = met.agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
+    met = written_once(met, "simhash-variants")
     pairs = met.where("n = 2").select("a", "b")
     # The members of a larger group are those fingerprints that lie in the ball around its variant.
     crowded = met.where("n > 2").select("a", around("variant").alias("fp")).join(fps, "fp").select("a", F.col("fp").alias("b"))
