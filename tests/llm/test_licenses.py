@@ -2,6 +2,8 @@ import re
 from collections import Counter, defaultdict
 from math import log, sqrt
 
+import pytest
+
 from tests.llm.rows import LONG, same
 from tranche.llm import licenses
 
@@ -88,3 +90,27 @@ def test_nearest_directory_wins(spark):
 def test_empty_table_and_no_headers(spark):
     assert licenses.scan(frame(spark, FILES).limit(0)).count() == 0
     assert [r["licence"] for r in licenses.scan(frame(spark, [(1, "a/b", "plain")])).collect()] == [None]
+
+
+HEADERS = [
+    ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.", "GPL-3.0"),
+    ("// Licensed under the Apache License, Version 2.0 (the \"License\");\n// you may not use this file except in compliance with the License.\n// You may obtain a copy of the License at\n//\n//     http://www.apache.org/licenses/LICENSE-2.0", "Apache-2.0"),
+    ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */", "MPL-2.0"),
+    ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+    ("# SPDX-License-Identifier: MIT", "MIT"),
+    ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+    ("# SPDX-License-Identifier: (ISC OR MIT)", "ISC"),
+    ("All rights reserved.", "proprietary"),
+    ("Copyright (c) 2015-2024 Some Company, Inc. and others. All rights reserved.", "proprietary"),
+    ("Copyright (c) 2015 X. All rights reserved.\nUse of this source code is governed by a BSD-style license that can be\nfound in the LICENSE file.", "BSD-3-Clause"),
+    ("for all rights of the people were reserved by law, and copyright is a licence to speak", None),
+]
+
+
+@pytest.mark.parametrize("often", [1, 60])
+def test_wrapped_spdx_and_copyright_notices_however_common(spark, often):
+    code = "\n\n" + "\n".join(f"int value{n} = {n};" for n in range(60))
+    rows = [(n * 100 + k, f"f{n}/{k}.c", f"import a\n{text}{code}{k}") for n, (text, _) in enumerate(HEADERS) for k in range(often)]
+    got = {r["file_id"]: (r["licence"], r["origin"]) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert {n: got[n * 100] for n in range(len(HEADERS))} == {n: (w, w and "header") for n, (_, w) in enumerate(HEADERS)}
+    assert len(got) == len(rows) and all(got[n * 100 + k] == got[n * 100] for n in range(len(HEADERS)) for k in range(often))

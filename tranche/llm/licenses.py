@@ -2,15 +2,23 @@
 
 Headers are the lines of a text that speak of licences; a licence file is taken as a whole. Equal headers collapse before
 anything is counted, so a notice in a third of all files is one vector. Document frequencies are those of all headers.
+Besides, blocks of lines from each header on are scored with the document frequencies of the templates alone, so a wrapped
+notice, or a licence file by its best block, is found however common it is. SPDX tags are read as they are.
 A file without a licence of its own has that of the nearest directory above it that holds a licence file.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from math import log, sqrt
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tranche.llm.common import written_once
+from tranche.llm.common import map_batches, written_once
 
 #: How licences are named in headers, and how their texts begin. Few and short, so they may be broadcast.
 TEMPLATES = [
@@ -35,6 +43,28 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "Copyright. All rights reserved. Proprietary and confidential; unauthorized copying of this file is prohibited."),
 ]
+#: Notices of several lines, paragraphs of licence texts and their titles. Blocks are compared with these too.
+NOTICES = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MIT", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("proprietary", "All rights reserved."),
+    ("proprietary", "Copyright. All rights reserved."),
+]
+#: Reserved rights stand above most open licences too: this one counts only where a file has no other.
+WEAKEST = "proprietary"
+#: The first licence that an SPDX tag names; those of a family without the suffix that tells of later versions.
+SPDX = re.compile(r"(?i)spdx-license-identifier:[\s(]*([a-z0-9][a-z0-9.-]*)")
+#: The holder and the years of a copyright notice, which no template can know.
+HOLDER = re.compile(r"(?is)\bcopyright\b(?:\W+\w+){1,16}?\W+(?=all\s+rights\s+reserved)")
+#: Lines of a block, at most: a notice wrapped more narrowly than that is found by its longest template paragraph.
+BLOCK_LINES = 24
 HEADER = r"(?i)licen[cs]|copyright|spdx|public domain|permission is hereby|redistribution and use|free software|all rights reserved"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 #: A header is a licence's if the cosine is at least this.
@@ -62,6 +92,97 @@ def headers(files: DataFrame) -> DataFrame:
     return each.select("file", F.array_join("words", " ").alias("header"), F.size("words").alias("size"))
 
 
+class Blocks:
+    """Best block of a text: cosines to ``templates`` with their own document frequencies. Remembers texts, up to a bound."""
+
+    MOST_WORDS, MOST_TEXTS = 400, 1000
+    WORD, LINE = re.compile(r"[a-z0-9]+"), re.compile(HEADER)
+
+    def __init__(self, templates: list[tuple[str, str]], least_cosine: float = LEAST_COSINE):
+        self.licences, self.least = [licence for licence, _ in templates], least_cosine
+        self.official = {licence.lower(): licence for licence in self.licences}
+        counts = [Counter(self.terms(self.WORD.findall(text.lower()))) for _, text in templates]
+        df = Counter(t for c in counts for t in c)
+        self.idf = {t: log((len(counts) + 1) / (n + 1)) + 1 for t, n in df.items()}
+        self.unknown = log(len(counts) + 1) + 1
+        self.norms = [sqrt(sum((n * self.idf[t]) ** 2 for t, n in c.items())) for c in counts]
+        self.holders: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        for k, c in enumerate(counts):
+            for t, n in c.items():
+                self.holders[t].append((k, n * self.idf[t] ** 2))
+        self.known: dict[str, tuple[str, float, int] | None] = {}
+
+    @staticmethod
+    def terms(tokens: list[str], before: str | None = None) -> list[str]:
+        return tokens + [f"{a} {b}" for a, b in zip([before, *tokens], tokens, strict=False) if a is not None]
+
+    def best(self, text: str) -> tuple[str, float, int] | None:
+        """``(licence, cosine, words in blocks that match)``; null without any."""
+        if text not in self.known:
+            if len(self.known) >= self.MOST_TEXTS:
+                self.known.clear()
+            self.known[text] = self.scored(text)
+        return self.known[text]
+
+    def tagged(self, name: str) -> str:
+        plain = re.sub(r"-(only|or-later)$|\+$", "", name.lower().rstrip(".-"))
+        return self.official.get(plain, name.rstrip(".-"))
+
+    def scored(self, text: str) -> tuple[str, float, int] | None:
+        full = HOLDER.sub("copyright ", text)
+        lines = [(line, self.WORD.findall(line.lower())) for line in full.split("\n")]
+        lines = [x for x in lines if x[1]]
+        found: list[tuple[bool, float, str]] = []
+        covered: set[int] = set()
+        starts: set[int] = set()
+        for n, (line, _) in enumerate(lines):
+            if self.LINE.search(line):
+                starts |= {max(0, n - 1), n}
+                for name in SPDX.findall(line):
+                    found.append((False, -1.0, self.tagged(name)))
+                    covered.add(n)
+                    break
+        for first in sorted(starts):
+            tf: Counter = Counter()
+            dots = [0.0] * len(self.norms)
+            square, size, before = 0.0, 0, None
+            for last in range(first, min(first + BLOCK_LINES, len(lines))):
+                tokens = lines[last][1]
+                if size and size + len(tokens) > self.MOST_WORDS:
+                    break
+                size += len(tokens)
+                for t in self.terms(tokens, before):
+                    square += (2 * tf[t] + 1) * self.idf.get(t, self.unknown) ** 2
+                    tf[t] += 1
+                    for k, w in self.holders.get(t, ()):
+                        dots[k] += w
+                before = tokens[-1]
+                top = max((round(d / norm / sqrt(square), 9), -k) for k, (d, norm) in enumerate(zip(dots, self.norms, strict=True)))
+                if top[0] >= self.least:
+                    licence = self.licences[-top[1]]
+                    found.append((licence == WEAKEST, -top[0], licence))
+                    covered.update(range(first, last + 1))
+        if not found:
+            return None
+        _, far, licence = min(found)
+        return licence, -far, sum(len(lines[n][1]) for n in covered)
+
+
+def blocks(files: DataFrame, templates: list[tuple[str, str]], least_cosine: float) -> DataFrame:
+    """``(file, licence, cosine, size)`` by the best block of ``(file, name, text)``, for files that have one. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Blocks(templates, least_cosine)
+        for batch in batches:
+            rows = [(f, *hit) for f, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if (hit := scorer.best(t.as_py()))]
+            columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], [], []]
+            kinds = [pa.string(), pa.string(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "licence", "cosine", "size"])
+
+    some = files.where(F.col("text").rlike(HEADER)).select("file", "text")
+    return map_batches(some, run, "file string, licence string, cosine double, size long")
+
+
 def counted(texts: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, term, tf)`` of normal texts."""
     split = F.split(text, " ")
@@ -100,12 +221,13 @@ def scan(
     templates: list[tuple[str, str]] = TEMPLATES,
     least_cosine: float = LEAST_COSINE,
     least_share: float = LEAST_SHARE,
+    notices: list[tuple[str, str]] = NOTICES,
 ) -> DataFrame:
     """``(file_id, path, licence, cosine, origin, directory)`` for every row of ``files``.
 
     ``origin`` is "header", "licence file" or "inherited", and null without a licence; ``directory`` is that of the licence
     file for the latter two. A file keeps its own licence over an inherited one. Of several headers the one with the
-    largest cosine counts, and of several licence files in a directory the same. Null texts have no headers; a file
+    largest cosine counts, reserved rights after all others, and of several licence files in a directory the same. Null texts have no headers; a file
     without a path inherits nothing; rows that agree in id, path and text get the same answer each.
     """
     rows = files.select(F.col(file_id).alias("file_id"), F.col(path).alias("path"), F.col(text).alias("text"))
@@ -113,17 +235,24 @@ def scan(
     directory = F.when(F.col("path").contains("/"), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), "")
     name = F.regexp_extract("path", "[^/]*$", 0)
     rows = rows.select("file_id", "path", "text", file.alias("file"), directory.alias("at"), name.alias("name"))
-    found = written_once(headers(rows.select("file", "name", "text").where("text is not null")), "licence-headers")
+    texts = rows.select("file", "name", "text").where("text is not null")
+    found = written_once(headers(texts), "licence-headers")
     known = matched(found, templates, least_cosine)
-    hits = found.join(known, "header").groupBy("file").agg(
-        F.min(F.struct((-F.col("cosine")).alias("far"), "licence")).alias("best"), F.sum("size").alias("licence_words")
-    )
+    far = lambda: F.struct((F.col("licence") == WEAKEST).alias("weak"), (-F.col("cosine")).alias("far"), "licence")
+    hits = found.join(known, "header").groupBy("file").agg(F.min(far()).alias("best"), F.sum("size").alias("licence_words"))
+    hits = hits.select("file", "best", "licence_words")
+    # Rows that repeat have one file key, whose blocks are counted once; its lines are counted as often as it comes.
+    by_block = written_once(blocks(texts, [*templates, *notices], least_cosine), "licence-blocks")
+    by_block = by_block.select("file", far().alias("best"), F.col("size").alias("licence_words"))
+    hits = hits.unionByName(by_block).groupBy("file").agg(F.min("best").alias("best"), F.max("licence_words").alias("licence_words"))
     hits = hits.select("file", "best.licence", (-F.col("best.far")).alias("cosine"), "licence_words")
-    # Of files with a licence, those that are about nothing else are licence files.
-    own = rows.join(hits, "file").select("file", "at", "name", "licence", "cosine", "licence_words", F.size(words("text")).alias("all_words"))
+    # Of files with a licence, those that are about nothing else are licence files. Texts are counted before the shuffle.
+    sizes = rows.where(F.col("name").rlike(LICENCE_FILE) | F.col("text").rlike(HEADER))
+    sizes = sizes.select("file", "at", "name", F.size(words("text")).alias("all_words"))
+    own = sizes.join(hits, "file").select("file", "at", "name", "licence", "cosine", "licence_words", "all_words")
     whole = F.coalesce(F.col("name").rlike(LICENCE_FILE), F.lit(False)) | (F.col("licence_words") >= least_share * F.col("all_words"))
     own = written_once(own.select("file", "at", "licence", "cosine", whole.alias("whole")).distinct(), "licences")
-    above = own.where("whole and at is not null").groupBy("at").agg(F.min(F.struct((-F.col("cosine")).alias("far"), "licence")).alias("best"))
+    above = own.where("whole and at is not null").groupBy("at").agg(F.min(far()).alias("best"))
     above = above.select(F.col("at").alias("directory"), F.col("best.licence").alias("theirs"), (-F.col("best.far")).alias("their_cosine"))
     # Each distinct directory meets all directories above it, itself included; the longest that holds a licence file is the nearest.
     steps = F.split("at", "/")
