@@ -1,6 +1,7 @@
 import re
 from collections import Counter, defaultdict
 from math import log, sqrt
+from pathlib import Path
 
 import pytest
 
@@ -114,3 +115,23 @@ def test_wrapped_spdx_and_copyright_notices_however_common(spark, often):
     got = {r["file_id"]: (r["licence"], r["origin"]) for r in licenses.scan(frame(spark, rows)).collect()}
     assert {n: got[n * 100] for n in range(len(HEADERS))} == {n: (w, w and "header") for n, (_, w) in enumerate(HEADERS)}
     assert len(got) == len(rows) and all(got[n * 100 + k] == got[n * 100] for n in range(len(HEADERS)) for k in range(often))
+
+
+WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE."
+GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."
+WHOLE = {"MIT": f"MIT License\n\nCopyright (c) 2024 A. Person\n\n{GRANT}\n\n{WARRANTY}\n"}
+WHOLE |= {k: Path("/usr/share/common-licenses", f).read_text() for k, f in {"Apache-2.0": "Apache-2.0", "BSD-3-Clause": "BSD", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-3.0": "LGPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}.items() if Path("/usr/share/common-licenses", f).exists()}
+
+
+@pytest.mark.parametrize("often", [1, 20])
+def test_files_inherit_from_unabridged_licence_files(spark, often):
+    rows = []
+    for n, text in enumerate(WHOLE.values()):
+        for k in range(often):
+            at = n * 1000 + k * 2
+            rows += [(at, f"d{n}_{k}/{('LICENSE', 'COPYING.txt')[k % 2]}", text), (at + 1, f"d{n}_{k}/src/deep/x.py", "print(1)")]
+    got = {r["file_id"]: (r["licence"], r["origin"], r["directory"]) for r in licenses.scan(frame(spark, rows)).collect()}
+    for n, licence in enumerate(WHOLE):
+        for k in range(often):
+            assert got[n * 1000 + k * 2] == (licence, "licence file", f"d{n}_{k}")
+            assert got[n * 1000 + k * 2 + 1] == (licence, "inherited", f"d{n}_{k}")
