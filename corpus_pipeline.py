@@ -19,8 +19,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on ten or more sites stay at their first place only; every document stays."""
-    return line_dedup.dedup(docs)
+    """Lines on ten or more sites, of over 50 words on three or more, stay at their first place only; every document stays."""
+    return line_dedup.dedup(docs, long_sites=line_dedup.LONG_SITES)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

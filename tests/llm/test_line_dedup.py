@@ -59,3 +59,31 @@ def test_awkward_rows_and_empty_table(spark):
 def test_no_python_runs(spark):
     plan = line_dedup.dedup(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_lines_have_a_lower_threshold(spark):
+    passage = lambda n, size: " ".join(f"p{n}w{i}" for i in range(size))
+    rows = []
+    for n in range(12):
+        lines = [f"own {n}", *[passage(k, size) for k, size in ((2, 51), (3, 51), (4, 50), (9, 60), (11, 30)) if n < k]]
+        rows.append((n, "\n".join(lines), f"site{n}"))
+    rows += [(100 + n, f"alone {n}\n" + passage(50, 80), "site0") for n in range(30)]  # one site
+    rows += [(200 + n, "copied\n" + passage(60, 80), f"site{n}") for n in range(5)]  # copies of one document
+    found = line_dedup.dedup(frame(spark, rows), counts=True, long_sites=3)
+    got = {r["doc_id"]: r for r in found.collect()}
+    gone = {3: 3, 9: 9, 11: 11}  # passages on too many sites, by the number of those
+    for n, text, _ in rows[:12]:
+        kept = [x for x in text.split("\n") if n == 0 or not any(x.startswith(f"p{k}w0 ") for k in gone)]
+        assert got[n]["text"] == "\n".join(kept)
+    assert all(r["n_removed"] == 0 for i, r in got.items() if i >= 100)
+    whole = line_dedup.dedup(frame(spark, rows), counts=True)
+    assert sum(r["n_removed"] for r in whole.collect()) == 10
+
+
+def test_pipeline_takes_passages_on_few_sites(spark):
+    import corpus_pipeline
+
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(n, f"own {n}\n{passage}", f"site{n}") for n in range(4)]
+    kept = corpus_pipeline.without_boilerplate(spark, frame(spark, rows), "").collect()
+    assert {r["doc_id"]: r["text"] for r in kept} == {0: rows[0][1], 1: "own 1", 2: "own 2", 3: "own 3"}
