@@ -89,3 +89,24 @@ def test_without_labels_the_given_terms_hold(spark):
     docs, labels = corpus(spark)
     model = tx.fit(docs, labels.limit(0))
     assert model.stems == [] and tx.Scorer(model).score("an idiot") >= 0.7
+
+
+@pytest.mark.parametrize("text", ["utter tr@sh", "you $cum", "what $tup1d talk", "(m0r@n)", "idiot@home", "a tr@$h-heap, tr@sh"])
+def test_signs_stand_for_letters(text):
+    assert tx.Scorer(tx.Model(list(tx.TERMS), [])).score(text) >= 0.7
+
+
+@pytest.mark.parametrize("text", ["a bill of $5 or $100", "bob@site.org", "$", "@@ $$", "a sum, a slum", 'the word "tr@sh" is an insult'])
+def test_signs_alone_say_nothing(text):
+    assert tx.Scorer(tx.Model(list(tx.TERMS), [])).score(text) < 0.7
+
+
+@pytest.mark.parametrize(("toxic", "loose"), [(True, ["scum"]), (False, [])])
+def test_labels_allow_an_edit_in_short_terms(spark, toxic, loose):
+    """Different misspellings, so that none is learnt as a word of its own."""
+    bad = [f"sc{c}um" for c in "abdefghijklmno"] + [f"s{c}um" for c in "abdefghijklmno"]
+    rows = [(n, f"plain words and {bad[n // 5 % len(bad)] if n % 5 == 0 else 'more'} of them") for n in range(400)]
+    labels = [(n, 1, int(n % 5 == (0 if toxic else 1))) for n in range(400)]
+    model = tx.fit(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert model.loose == loose
+    assert (tx.Scorer(model).score("utter skum") >= 0.7) == toxic

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from math import log
 
 import pyarrow as pa
@@ -39,6 +39,10 @@ LEAST_SHARE = 0.6
 PASSAGE_WORDS = 500
 
 WORD = re.compile(r"\w+")
+#: What is written with look-alike signs that words don't hold; with a letter, as amounts are none.
+SIGNED = re.compile(r"(?<![\w@$])(?=[\w@$]*[@$])(?=[\w@$]*[^\W\d_])[\w@$]+")
+#: Terms of so many letters are matched with one edit where the labels support it.
+SHORT = 4
 DEAD = 0
 
 
@@ -46,21 +50,22 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def edits_allowed(term: str) -> int:
-    """None below five letters, one below eight, then two."""
-    return (len(term) >= 5) + (len(term) >= 8)
+def edits_allowed(term: str, loose: frozenset[str] = frozenset()) -> int:
+    """None below five letters, unless the term is among the loose ones; one below eight, then two."""
+    return (len(term) >= 5 or term in loose) + (len(term) >= 8)
 
 
 class Automaton:
     """Deterministic automaton of all words within the allowed edits of a term, and of all words that begin with a stem."""
 
-    def __init__(self, terms: Iterable[str], stems: Iterable[str] = ()):
+    def __init__(self, terms: Iterable[str], stems: Iterable[str] = (), loose: Iterable[str] = ()):
+        self.loose = frozenset(loose)
         self.terms: list[tuple[str, bool]] = [(t, False) for t in terms] + [(s, True) for s in stems]
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.room: list[int] = [0]  # most edits that a term below a node allows
         for n, (term, stem) in enumerate(self.terms):
-            node, edits = 0, 0 if stem else edits_allowed(term)
+            node, edits = 0, 0 if stem else edits_allowed(term, self.loose)
             self.room[0] = max(self.room[0], edits)
             for c in term:
                 node = self.children[node].setdefault(c, len(self.children))
@@ -97,7 +102,7 @@ class Automaton:
             self.sets.append(states)
             self.moves.append({})
             hits = [(edits, n, self.terms[n][1]) for node, edits in states for n in self.ends[node]]
-            ends = [(e, n) for e, n, stem in hits if (stem and not e) or (not stem and e <= edits_allowed(self.terms[n][0]))]
+            ends = [(e, n) for e, n, stem in hits if (stem and not e) or (not stem and e <= edits_allowed(self.terms[n][0], self.loose))]
             self.finals.append(min(ends, default=None))
             self.stem_finals.append(min(((e, n) for e, n, stem in hits if stem and not e), default=None))
         return known
@@ -135,6 +140,7 @@ class Model:
     stems: list[str]
     weights: dict[tuple[int, int, int, int], float] = field(default_factory=dict)
     base: float = 0.02
+    loose: list[str] = field(default_factory=list)
 
     def weight(self, term: int, edits: int, window: int, often: int) -> float:
         known = self.weights.get((term, edits, window, often))
@@ -155,7 +161,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.automaton = Automaton(model.terms, model.stems)
+        self.automaton = Automaton(model.terms, model.stems, model.loose)
         self.known: dict[str, tuple[int, int] | None] = {}
 
     def hit(self, word: str) -> tuple[int, int] | None:
@@ -166,23 +172,39 @@ class Scorer:
             found = min((x for x in (found, other) if x), default=None)
         return found
 
+    def signed_hit(self, word: str) -> tuple[int, int] | None:
+        """The hit of a word written with signs, if it is nearer than those of the words between the signs."""
+        plain = word.translate(LOOKALIKES)
+        found = self.automaton.hit(plain) if plain.isalpha() else None
+        between = min((x for x in map(self.hit, WORD.findall(word)) if x), default=None)
+        return found if found and (between is None or found[0] < between[0]) else None
+
     def hits(self, text: str) -> set[tuple[int, int, int, int]]:
         """What is found, as ``(term, edits, window, often)``; often is 1, 2 or 3, for three times and more."""
         known = self.known
         if len(known) > self.MOST_WORDS:
             known.clear()
         low = text.lower()
-        found = {}
+        found, signed = {}, {}
         tokens = WORD.findall(low)
         for word in set(tokens):
             if word not in known:
                 known[word] = self.hit(word)
             if known[word] is not None:
                 found[word] = known[word]
-        if not found:
+        if "@" in low or "$" in low:
+            for word in set(SIGNED.findall(low)):
+                if word not in known:
+                    known[word] = self.signed_hit(word)
+                if known[word] is not None:
+                    signed[word] = known[word]
+        if not found and not signed:
             return set()
         times: Counter = Counter()
-        for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(found))) + r")(?!\w)", low):
+        either = lambda some: "|".join(map(re.escape, sorted(some)))
+        forms = [rf"(?<![\w@$])(?:{either(signed)})(?![\w@$])"] * bool(signed) + [rf"(?<!\w)(?:{either(found)})(?!\w)"] * bool(found)
+        found |= signed
+        for m in re.finditer("|".join(forms), low):
             edits, term = found[m.group()]
             times[term, edits, window(low, m.start(), m.end())] += 1
         share = PASSAGE_WORDS / max(PASSAGE_WORDS, len(tokens))
@@ -291,12 +313,42 @@ def learn_terms(sample: DataFrame, known: Iterable[str], most_chance: float = 0.
     return terms, stems
 
 
+def supported(sample: DataFrame, model: Model, most_chance: float = 0.01) -> list[str]:
+    """The short terms whose forms at one edit the labels show to be toxic, in documents where nothing else hits."""
+    short = {n: t for n, t in enumerate(model.terms) if len(t) == SHORT}
+    if not short:
+        return []
+    trial = replace(model, loose=list(short.values()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, seen = Scorer(trial), Counter()
+        for batch in batches:
+            for text, label in zip(batch.column(0), batch.column(1), strict=True):
+                hits, toxic = scorer.hits(text.as_py() or ""), int(label.as_py() == 1)
+                seen[-1, toxic] += 1
+                if all(edits and term in short for term, edits, _, _ in hits):
+                    seen.update((term, toxic) for term in {h[0] for h in hits})
+        if seen:
+            columns = [*zip(*seen, strict=True), tuple(seen.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["term", "label", "n"])
+
+    counts: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    for r in map_batches(sample, count, "term long, label long, n long").groupBy("term", "label").agg(F.sum("n").alias("n")).collect():
+        counts[r["term"]][r["label"]] += r["n"]
+    clean, toxic = counts.pop(-1, [0, 0])
+    if not clean or not toxic:
+        return []
+    least = log(len(short) / most_chance)
+    return sorted(short[n] for n, (no, yes) in counts.items() if evidence(yes, no, toxic / (toxic + clean)) > least)
+
+
 def fit(docs: DataFrame, labels: DataFrame, terms: Iterable[str] = TERMS, most_rows: int = SAMPLE_ROWS) -> Model:
     """Learn terms, stems and weights from a bounded sample of the labelled training rows. Without labels: the given terms."""
     sample = labelled_sample(docs, labels, "toxic", most_rows).persist()
     try:
         more, stems = learn_terms(sample, terms)
         model = Model([*terms, *(t for t in more if t not in set(terms))], stems)
+        model.loose = supported(sample, model)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer, seen = Scorer(model), Counter()
