@@ -77,3 +77,31 @@ def test_empty_table_and_no_python(spark):
     assert found.count() == 0
     plan = pii.report(documents(spark, TEXTS[:3]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_found_values_promote_patterns_without_seeds(spark):
+    """Account numbers known only from a call context, then others known only from the context of those: three generations."""
+    rows = [(1000 + n, f"please call me at +1 (555) 010-{1000 + n} today") for n in range(40)]
+    for n in range(12):
+        rows.append((2000 + n, f"please call me at 71-{5000 + n} today"))
+        rows.append((3000 + n, f"the customer account 71-{5000 + n} belongs here"))
+        if n < 6:
+            rows.append((5000 + n, f"new secret ledger 88-{6000 + n} closes"))
+    rows += [(4000 + n, f"the customer account 88-{6000 + n} belongs here") for n in range(2)]
+    rows += [(6000 + n, f"order number {10_000 + 37 * n} was shipped") for n in range(12)]
+    spans = {r["doc_id"]: r["spans"] for r in pii.report(documents(spark, rows)).collect()}
+    assert all(spans[2000 + n] == "context-phone:18:25" for n in range(12))
+    assert all(spans[3000 + n] == "context-phone:21:28" for n in range(12))
+    assert all(spans[4000 + n] == "context-phone:21:28" for n in range(2))
+    assert all(spans[5000 + n] == spans[6000 + n] == "" for n in range(6))
+
+
+def test_rounds_go_on_until_nothing_is_added(spark):
+    """A chain of patterns, each of which shares its values with the one before."""
+    edges = [("p0", f"s{n}", "email") for n in range(60)]
+    edges += [(f"p{k + d}", f"v{k}_{n}", None) for k in range(8) for n in range(6) for d in (0, 1)]
+    edges += [(f"p{k}", f"s{n}", "email") for k in range(1, 8) for n in range(20)]
+    frame = spark.createDataFrame(edges, "pattern string, value string, kind string")
+    assert "p8" not in {r["pattern"] for r in pii.confident(frame, rounds=3).collect()}
+    out = {r["pattern"]: r for r in pii.confident(frame).collect()}
+    assert out["p8"]["seeds"] == 0 and out["p8"]["evidence"] > 4

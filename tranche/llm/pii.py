@@ -2,8 +2,9 @@
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers: the seeds. The words around the seeds are
 lexical patterns. Patterns and the values they surround form a graph on which confidence spreads: a pattern is as good as
-the share of its values that are known, a value as good as the patterns it is found in. After a few rounds, patterns of
-high confidence tell which other identifiers are personal data too.
+the share of its values that are known, a value as good as the patterns it is found in. A value found so counts towards
+patterns without any base seed too. When rounds add nothing more, patterns of high confidence tell which other identifiers
+are personal data too.
 
 Positions come from the texts between matches: their lengths add up in a window over the matches of one document.
 """
@@ -31,8 +32,12 @@ PATTERNS = {
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Characters of the surroundings that patterns are made of.
 AROUND = 60
-ROUNDS = 3
-#: A pattern needs this confidence, and so many distinct seeds, to take part in a round, or to extract.
+#: Rounds end when none adds a pattern or a value; more than so many fail the call.
+MOST_ROUNDS = 60
+#: The sum of the values' scores must have settled too, by this share.
+SETTLED = 1e-4
+#: A pattern needs this confidence, and so much evidence, to take part in a round, or to extract. A distinct seed is one,
+#: a found value as much as its score.
 SPREADS, LEAST_SEEDS = 0.7, 3
 EXTRACTS, LEAST_EVIDENCE = 0.8, 5
 KEY = ["k1", "k2"]
@@ -124,25 +129,45 @@ def trimmed() -> tuple[Column, Column, Column]:
     return value.alias("value"), (F.col("start") + lead).alias("start"), (F.col("start") + lead + F.length(value)).alias("end")
 
 
-def confident(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``(pattern, kind, confidence, seeds)`` of the graph's edges ``(pattern, value, kind)``; kind is null for unknown values.
+def confident(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``(pattern, kind, confidence, seeds, evidence)`` of the graph's edges ``(pattern, value, kind)``; kind is null for unknown values.
 
     Each round scores the patterns by the values they surround, then the unknown values by their patterns. Both are sums
-    that combine before the shuffle; what a round found is written, so the next one starts from it.
+    that combine before the shuffle; what a round found is written, so the next one starts from it. Without ``rounds``,
+    they go on until no pattern that spreads, or extracts, and no value is added.
     """
-    known = edges.where("kind is not null").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
+    unknown = edges.where("kind is null").select("pattern", "value")
     sizes = edges.groupBy("pattern").agg(F.count_distinct("value").alias("values"))
     seeds = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    found = known.limit(0)
-    out = None
-    for _ in range(rounds):
-        unknown = edges.where("kind is null").select("pattern", "value").join(found, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("more"))
-        out = seeds.join(sizes, "pattern").join(unknown, ["pattern", "kind"], "left")
-        share = (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / (F.col("values") + 1)
-        out = written_once(out.select("pattern", "kind", F.least(share, F.lit(0.99)).alias("confidence"), "seeds"), "pii-patterns")
-        good = out.where((F.col("confidence") >= SPREADS) & (F.col("seeds") >= LEAST_SEEDS))
-        scored = edges.where("kind is null").select("pattern", "value").join(good, "pattern")
+    spreads = (F.col("confidence") >= SPREADS) & (F.col("evidence") >= LEAST_SEEDS)
+    extracts = (F.col("confidence") >= EXTRACTS) & (F.col("evidence") >= LEAST_EVIDENCE)
+    found = out = before = None
+    for _ in range(rounds or MOST_ROUNDS):
+        if found is None:
+            met = seeds.withColumn("more", F.lit(0.0))
+        else:
+            more = unknown.join(found, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("more"))
+            met = seeds.join(more, ["pattern", "kind"], "full")
+        met = met.select("pattern", "kind", F.coalesce("seeds", F.lit(0)).alias("seeds"), F.coalesce("more", F.lit(0.0)).alias("more"))
+        evidence = F.col("seeds") + F.col("more")
+        # A share of all values, and one value more that isn't known.
+        share = evidence / (F.col("values") + 1)
+        met = met.join(sizes, "pattern").select("pattern", "kind", F.least(share, F.lit(0.99)).alias("confidence"), "seeds", evidence.alias("evidence"))
+        out = written_once(met, "pii-patterns")
+        scored = unknown.join(out.where(spreads), "pattern")
         found = scored.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"))
+        if rounds is None:
+            found = written_once(found, "pii-values")
+            patterns = out.agg(F.count_if(spreads), F.count_if(extracts)).first()
+            n, total = found.agg(F.count("*"), F.coalesce(F.sum("score"), F.lit(0.0))).first()
+            now = (*patterns, n)
+            # Scores only grow: sets of equal size are equal sets, but a score may be on its way to the threshold.
+            if before and now == before[0] and total - before[1] <= SETTLED * total:
+                break
+            before = now, total
+    else:
+        if rounds is None:
+            raise RuntimeError(f"patterns did not settle in {MOST_ROUNDS} rounds")
     return out
 
 
@@ -164,7 +189,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     edges = base.select("value", "kind", F.explode(around).alias("pattern"))
     edges = edges.unionByName(free.select("value", F.lit(None).cast("string").alias("kind"), F.explode(around).alias("pattern")))
     edges = written_once(edges.distinct(), "pii-edges")
-    sure = confident(edges).where((F.col("confidence") >= EXTRACTS) & (F.col("seeds") >= LEAST_EVIDENCE))
+    sure = confident(edges).where((F.col("confidence") >= EXTRACTS) & (F.col("evidence") >= LEAST_EVIDENCE))
     more = free.select(*KEY, "start", "end", F.explode(around).alias("pattern")).join(sure, "pattern")
     more = more.groupBy(*KEY, "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("best"))
     more = more.select(*KEY, F.concat(F.lit("context-"), F.col("best.kind")).alias("kind"), "start", "end")
