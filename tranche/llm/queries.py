@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tranche.llm import decontamination, licenses, line_dedup, order_minhash, pii, quality, sentencepiece_codec, simhash, toxicity, warc
+from tranche.llm import bpe, decontamination, licenses, line_dedup, order_minhash, pii, quality, sentencepiece_codec, simhash, toxicity, warc
 from tranche.llm.common import read_table, training_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000), F.concat("doc_id", F.lit(".txt")))
     found = licenses.scan(docs.select("doc_id", "text", path.alias("path")), file_id="doc_id")
     return found.withColumnRenamed("file_id", "doc_id")
+
+
+@query("op11_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, bpe.public_vocabulary(), out="ids"), bpe.public_vocabulary(), ids="ids", out="decoded")
+    found = bpe.ids_digest(coded.select("doc_id", "ids", "decoded"), "ids", "ids_sha256")
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids_sha256",
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
