@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tranche.llm import bpe, decontamination, licenses, line_dedup, order_minhash, pii, quality, sentencepiece_codec, simhash, toxicity, warc
+from tranche.llm import alignment, bpe, decontamination, licenses, line_dedup, order_minhash, pii, quality, sentencepiece_codec, simhash, toxicity, warc
 from tranche.llm.common import read_table, training_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,3 +117,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ids_sha256",
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op12_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.report(docs, *alignment.public_paths())
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2(F.encode("groups", "UTF-8"), 256))
+    return found.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256")
+    )
