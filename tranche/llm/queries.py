@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tranche.llm import alignment, bpe, decontamination, licenses, line_dedup, order_minhash, pii, quality, sentencepiece_codec, simhash, toxicity, warc
+from tranche.llm import alignment, bpe, decontamination, hard_negatives, licenses, line_dedup, order_minhash, pii, quality, sentencepiece_codec, simhash, toxicity, warc
 from tranche.llm.common import read_table, training_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,3 +127,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256")
     )
+
+
+@query("op13_hard_negatives", hard_negatives.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"))
