@@ -77,3 +77,14 @@ def test_salted_join_equals_broadcast(spark, monkeypatch):
     plain = sorted((r.doc_id, r.n_best, r.count_sum) for r in al.report(docs).collect() if r.doc_id is not None)
     monkeypatch.setattr(al, "BROADCAST_PAIRS", 0)
     assert sorted((r.doc_id, r.n_best, r.count_sum) for r in al.report(docs).collect() if r.doc_id is not None) == plain
+
+
+def test_slices_cover_every_row_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "b" * 30, "", "c" * 5, "d" * 50]})
+    monkeypatch.setattr(al, "SLICE_BYTES", 20)
+    parts = list(al.slices(batch, 0))
+    assert [p.num_rows for p in parts] == [2, 1, 2, 1]
+    assert sum((p.column(0).to_pylist() for p in parts), []) == batch.column(0).to_pylist()
+    assert [p.num_rows for p in al.slices(batch.slice(0, 0), 0)] == [0]

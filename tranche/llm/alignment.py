@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,8 @@ BROADCAST_PAIRS = 2_000_000
 #: Copies of the pair counts in the salted join, so that a pair linked in most documents is split this many ways.
 SALTS = 16
 MARK = "▁"
+#: Text bytes aligned at once in a task: tokens, links and group texts of a slice are held together.
+SLICE_BYTES = 1 << 20
 
 LINK = T.StructType([T.StructField("a", T.IntegerType(), False), T.StructField("b", T.IntegerType(), False), T.StructField("n", T.LongType(), False)])
 ALIGNED = [
@@ -172,6 +175,19 @@ def align_batch(pairs: list[tuple[np.ndarray, np.ndarray]], a_len: np.ndarray, b
     }
 
 
+def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of ``batch`` whose texts hold at most ``SLICE_BYTES`` together; a longer text is a slice alone."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > SLICE_BYTES:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += int(size)
+    if start < len(sizes) or not len(sizes):
+        yield batch.slice(start)
+
+
 def aligned(df: DataFrame, a_path: str | None = None, b_path: str | None = None, text: str = "text") -> DataFrame:
     """``df`` with ``n_a, n_b, n_groups, n_links, groups`` and ``links`` (distinct (a, b) of the document with n occurrences)."""
     a_path, b_path = (a_path, b_path) if a_path and b_path else public_paths()
@@ -183,7 +199,7 @@ def aligned(df: DataFrame, a_path: str | None = None, b_path: str | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = Sides(a_path, b_path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             found = align_batch(sides.tokens(batch.column(at).to_pylist()), sides.a_len, sides.b_len)
             offsets, la, lb, ln = found["links"]
             items = pa.StructArray.from_arrays([pa.array(la, pa.int32()), pa.array(lb, pa.int32()), pa.array(ln, pa.int64())], fields=list(link))
