@@ -275,23 +275,37 @@ def random_search(
     seed: int = 42,
     parallelism: int = 2,
     ranges: dict[str, tuple] | None = None,
+    booster: str = "spark",
 ) -> tuple[dict, DataFrame]:
     """Fit every trial on 80 %, rank by exact AUC on the stratified rest: (best setting, results).
 
     Trials are independent Spark jobs and may overlap. ``ranges`` replaces ranges that settings are drawn from.
+    ``booster="spark"`` fits Spark ML's trees, which take iterations, learning rate, depth and border count;
+    ``"histogram"`` fits symmetric histogram trees that take all six settings, leaf penalty and split noise too.
     """
     if trials <= 0:
         raise ValueError("trials must be positive")
+    if booster not in ("spark", "histogram") or (booster == "histogram" and categorical):
+        raise ValueError("booster is 'spark' or 'histogram'; histogram trees take numeric features only")
     parts = stratified_holdout(train, key, target, holdout_share, seed).persist()
     fit_rows, check_rows = parts.filter(~F.col("is_holdout")), parts.filter("is_holdout")
 
     def run(number_and_setting):
         number, setting = number_and_setting
-        model, _ = boosted_trees(
-            fit_rows, features, target, categorical, weight, setting["iterations"],
-            setting["learning_rate"], setting["depth"], setting["border_count"], seed,
-        )
-        scored = score(model, check_rows).withColumn("_trial", F.lit(number))
+        if booster == "histogram":
+            from tranche.operators import histogram_boosting
+
+            forest = histogram_boosting.fit(
+                fit_rows, features, target, weight, setting["iterations"], setting["learning_rate"], setting["depth"],
+                setting["l2_leaf_reg"], setting["random_strength"], setting["border_count"], seed,
+            )
+            scored = histogram_boosting.predict(forest, check_rows).withColumn("_trial", F.lit(number))
+        else:
+            model, _ = boosted_trees(
+                fit_rows, features, target, categorical, weight, setting["iterations"],
+                setting["learning_rate"], setting["depth"], setting["border_count"], seed,
+            )
+            scored = score(model, check_rows).withColumn("_trial", F.lit(number))
         area = evaluation.auc(scored, ["_trial"], target, "predicted_probability").first()["auc"]
         return {"trial_index": number, "roc_auc": area, **setting}
 

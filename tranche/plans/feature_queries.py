@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tranche.functions.shape import local_table, record, rows_of
-from tranche.operators import drift, evaluation, features, training, validation
+from tranche.operators import drift, evaluation, features, histogram_boosting, training, validation
 from tranche.plans.loans import clean_loans, modeled_loans, raw_loans, stored_loans, train_of
 from tranche.plans.registry import check, query, r, rounded
 from tranche.plans.session import shared_folder
@@ -359,6 +359,33 @@ def m4_boosted_trees_native(spark, sf_dir):
     return _facts(model, filled, "boosted_trees_native")
 
 
+@query("m4_histogram_boosting")
+def m4_histogram_boosting(spark, sf_dir):
+    """Symmetric histogram trees with leaf penalty and split noise on the weighted branch: a row per tree level,
+    with the train and test AUC and Brier score of the fitted forest beside it."""
+    weighted, names = weighted_branch(spark, sf_dir)
+    forest = histogram_boosting.fit(
+        weighted.filter("split = 'train'"), names, weight="sample_weight", iterations=ITERATIONS, learning_rate=0.05, depth=4,
+        l2_leaf_reg=3.0, random_strength=1.0, border_count=128,
+    )
+    scored = histogram_boosting.predict(forest, weighted.filter("split IN ('train', 'test')"))
+    measures = evaluation.auc(scored, ["split"], "target_default", "predicted_probability").join(
+        scored.groupBy("split").agg(F.avg((F.col("predicted_probability") - F.col("target_default")) ** 2).alias("brier_score")), "split"
+    )
+    got = {r.split: r for r in measures.collect()}  # one row a split
+    return histogram_boosting.splits_table(forest, spark).withColumns(
+        {f"{s}_{m}": F.lit(float(got[s][c])) if s in got else F.lit(None).cast("double") for s in ("train", "test") for m, c in (("auc", "auc"), ("brier", "brier_score"))}
+    )
+
+
+@query("m5_random_search_histogram")
+def m5_random_search_histogram(spark, sf_dir):
+    """The random search over all six settings with histogram trees: every trial's setting and held-out AUC."""
+    df, names = _fit_inputs(spark, sf_dir)
+    _, results = training.random_search(df.filter("split = 'train'"), names, ["row_id"], trials=TRIALS, ranges=RANGES, booster="histogram")
+    return results
+
+
 @query(
     "m5_random_search",
     check(
