@@ -17,6 +17,7 @@ Extra columns are kept; clashing names are lengthened.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ BROADCAST_PAIRS = 2_000_000
 SALTS = 16
 MARK = "▁"
 #: Text bytes aligned at once in a task: tokens, links and group texts of a slice are held together.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 LINK = T.StructType([T.StructField("a", T.IntegerType(), False), T.StructField("b", T.IntegerType(), False), T.StructField("n", T.LongType(), False)])
 ALIGNED = [
@@ -78,6 +79,9 @@ class Sides:
     """Both tokenizers with the byte length of each of their ids."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
+        # One thread a task: Spark gives each task its core, and a thread pool's memory arenas outlive the batches.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        os.environ["RAYON_NUM_THREADS"] = "1"
         import sentencepiece
         from tokenizers import Tokenizer
 
