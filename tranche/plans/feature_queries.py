@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tranche.functions.shape import local_table, record, rows_of
-from tranche.operators import drift, evaluation, features, histogram_boosting, training, validation
+from tranche.operators import drift, evaluation, features, histogram_boosting, target_statistics, training, validation
 from tranche.plans.loans import clean_loans, modeled_loans, raw_loans, stored_loans, train_of
 from tranche.plans.registry import check, query, r, rounded
 from tranche.plans.session import shared_folder
@@ -378,6 +378,26 @@ def m4_histogram_boosting(spark, sf_dir):
     )
 
 
+def _ordered_sql(column: str) -> str:
+    frame = f"OVER (PARTITION BY {column} ORDER BY o RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    # Sums of 0/1 targets are whole numbers, so both engines divide the same two doubles: no rounding is needed.
+    return f"(CAST(COALESCE(SUM(target_default) {frame}, 0) AS DOUBLE) + 0.5) / (CAST(COUNT(target_default) {frame} AS DOUBLE) + 1.0) AS {column}_ts"
+
+
+@query(
+    "m4_ordered_target_statistics",
+    check(
+        f"""SELECT row_id, purpose, home_ownership, {_ordered_sql('purpose')}, {_ordered_sql('home_ownership')}
+            FROM (SELECT *, (row_id * 1000003 + 42) % 2147483647 AS o FROM m WHERE split = 'train')"""
+    ),
+)
+def m4_ordered_target_statistics(spark, sf_dir):
+    """Ordered target statistics of the categorical features of the train split: earlier rows in a seeded order only."""
+    train = _modeled(spark, sf_dir).filter("split = 'train'")
+    found = target_statistics.ordered_statistics(train, RULES.categorical, "target_default", target_statistics.seeded_order("row_id"))
+    return found.select("row_id", "purpose", "home_ownership", "purpose_ts", "home_ownership_ts")
+
+
 @query("m5_random_search_histogram")
 def m5_random_search_histogram(spark, sf_dir):
     """The random search over all six settings with histogram trees: every trial's setting and held-out AUC."""
