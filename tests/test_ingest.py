@@ -75,3 +75,27 @@ def test_csv_keeps_quotes_and_layers_prune(spark, tmp_path):
     test = storage.read_layer(spark, str(tmp_path / "layer"), "test")
     assert [r.id for r in test.collect()] == [2]
     assert "PartitionFilters: [isnotnull(split" in test._jdf.queryExecution().executedPlan().toString()
+
+
+def test_split_quoted_records_equal_the_whole_file_reader(spark, tmp_path):
+    from tranche.sources import dirty_csv
+
+    lines = ['"id","note"']
+    for i in range(400):
+        note = f'"line {i}\nstill {i}, ""q""\n\nend"' if i % 3 == 0 else f"plain {i}"
+        lines.append(f"{i},{note}")
+        if i % 50 == 0:
+            lines += ["", "   "]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        parts = dirty_csv.text_lines(spark, str(tmp_path)).select("block").distinct().count()
+        split = dirty_csv.classified_rows(spark, str(tmp_path), ["id", "note"], split_quoted=True)
+        whole = dirty_csv.classified_rows(spark, str(tmp_path), ["id", "note"])
+        key = lambda r: (r.row_class, r._c0, r._c1)
+        assert parts > 5
+        assert sorted(map(key, split.collect())) == sorted(map(key, whole.collect()))
+        assert split.where("row_class = 'data'").count() == 400
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

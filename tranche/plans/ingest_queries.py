@@ -113,6 +113,21 @@ def a2_normalisation_counts(spark, sf_dir):
     return dirty_csv.normalisation_counts(spark, write_dirty_orders(spark, sf_dir), source="source")
 
 
+@query("a1_normalise_split_quoted", f"""SELECT {SOURCE} AS source_file, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS cust, o_orderstatus AS status,
+        CASE WHEN o_orderkey % 10 = 0 THEN o_orderpriority || ', "late"' || chr(10) || 'next line' ELSE o_orderpriority END AS note FROM orders""")
+def a1_normalise_split_quoted(spark, sf_dir):
+    """The same files with quoted line breaks as a1, read by many tasks a file: records put together from lines."""
+    return dirty_csv.normalise(spark, write_dirty_orders(spark, sf_dir), source="source", split_quoted=True)
+
+
+@query("a2_normalisation_counts_split_quoted", f"""SELECT source_file, n + 7 + 2 * h AS source_row_count, n + h AS staged_row_count,
+        CAST(4 AS BIGINT) AS removed_non_tabular_row_count, h AS removed_repeated_header_row_count,
+        CAST(3 AS BIGINT) AS removed_blank_row_count FROM (
+        SELECT {SOURCE} AS source_file, COUNT(*) AS n, CAST(MAX(YEAR(o_orderdate)) <> {HEADLESS_YEAR} AS BIGINT) AS h FROM orders GROUP BY 1)""")
+def a2_normalisation_counts_split_quoted(spark, sf_dir):
+    return dirty_csv.normalisation_counts(spark, write_dirty_orders(spark, sf_dir), source="source", split_quoted=True)
+
+
 _NOTE = '''CASE WHEN o_orderkey % 10 = 0 THEN '"' || o_orderpriority || ', ""late""' || '"' ELSE o_orderpriority END'''
 _LINE = f'''CASE WHEN YEAR(o_orderdate) = {REORDERED_YEAR}
     THEN {_NOTE} || ',' || o_custkey || ',' || o_orderkey || ',"' || o_orderstatus || '"'

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from tranche.contracts import ContractViolation, same_columns
 from tranche.functions.guards import require_columns
+from tranche.plans.session import written_once
 
 # Text between quotes, in a line.
 QUOTED = '"[^"]*"'
@@ -124,6 +125,41 @@ def other_layouts(
     return [(list(g.order), sorted(g.files)) for g in groups]
 
 
+def records(spark: SparkSession, path: str | Sequence[str], source: str | None = None) -> DataFrame:
+    """(source_file, file, block, line_id, record): CSV records whose quoted cells may hold line breaks, read in parallel.
+
+    Lines are read as text, as many tasks to a file as it has blocks. A line starts a record where the quotes before
+    it are even in number: quotes are counted per block, the few block sums are carried along the file, and only a
+    block's own lines are ordered together. A line inside quotes joins the last record started before it, which may
+    lie in an earlier block; that start is carried from block to block the same way. The lines of a record are then
+    grouped by its first line and joined by a line feed (a carriage return before a break is not kept). Lines without
+    any character but blanks, outside quotes, are no record, as the CSV reader skips them. A quote left open runs to the
+    end of its file, as with the reader.
+    """
+    # Line ids are numbered once and written: branches of one plan may deal files to tasks differently, and would number them anew.
+    rows = written_once(text_lines(spark, path, source), "csv-lines")
+    block = ["source_file", "file", "block"]
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    rows = rows.withColumn("quotes", quotes)
+    earlier = W.partitionBy("source_file", "file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*block).orderBy("line_id").rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy(*block).agg(F.sum("quotes").alias("q"))
+    offsets = sums.select(*block, F.coalesce(F.sum("q").over(earlier), F.lit(0)).alias("offset"))
+    rows = rows.join(offsets, block).withColumn("starts", (F.col("offset") + F.coalesce(F.sum("quotes").over(before), F.lit(0))) % 2 == 0)
+    # The last start of each block, carried to the blocks after it; a block's first lines inside quotes take it.
+    start = F.when(F.col("starts"), F.struct(F.col("block").alias("b"), F.col("line_id").alias("l")))
+    last_of_block = rows.groupBy(*block).agg(F.max(start).alias("last"))
+    carried = last_of_block.select(*block, F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    upto = W.partitionBy(*block).orderBy("line_id").rowsBetween(W.unboundedPreceding, 0)
+    keyed = rows.join(carried, block).withColumn("at", F.coalesce(F.last(start, ignorenulls=True).over(upto), F.col("carried")))
+    kept = keyed.where(~F.col("starts") | (F.trim("value") != ""))
+    grouped = kept.groupBy("source_file", "file", "at").agg(F.sort_array(F.collect_list(F.struct("block", "line_id", "value"))).alias("lines"))
+    return grouped.select(
+        "source_file", "file", F.col("at.b").alias("block"), F.col("at.l").alias("line_id"),
+        F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("record"),
+    )
+
+
 def classified_rows(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -131,15 +167,19 @@ def classified_rows(
     source: str | None = None,
     quoted_newlines: bool = True,
     files: Sequence[str] | None = None,
+    split_quoted: bool = False,
 ) -> DataFrame:
     """Every record with its class: data, header, non_tabular or blank. ``files`` picks some of those below ``path``.
 
     All cells are read as text; records of another arity land in the corrupt-record column.
-    Files with quoted newlines cannot be split by Spark; pass False for files without them and
-    each file is read by as many tasks as it has blocks.
+    Spark's reader cannot split files with quoted newlines; pass False for files without them and
+    each file is read by as many tasks as it has blocks. ``split_quoted`` reads such files in
+    parallel all the same: records are put together by ``records`` and parsed one by one.
     """
     names = [f"_c{i}" for i in range(len(header))]
     schema = ", ".join(f"{n} string" for n in names) + ", _bad string"
+    if split_quoted and quoted_newlines:
+        return _classified(_parsed_records(spark, path, schema, source, files), header, names)
     if source:
         schema += f", {source} string"
     reader = (
@@ -157,6 +197,19 @@ def classified_rows(
         reader = reader.option("basePath", path)
     rows = reader.csv(list(files) if files else path)
     name = F.col(source).cast("string") if source else F.col("_metadata.file_name")
+    return _classified(rows.select(name.alias("source_file"), F.col("_metadata.file_path").alias("file"), *names, "_bad"), header, names)
+
+
+def _parsed_records(spark: SparkSession, path, schema: str, source: str | None, files: Sequence[str] | None = None) -> DataFrame:
+    """(source_file, file, cells..., _bad) of the records put together from lines, parsed as the CSV reader parses."""
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    found = records(spark, path, source)
+    if files:
+        found = found.filter(F.col("file").isin(list(files)))
+    return found.select("source_file", "file", F.from_csv("record", schema, options).alias("r")).select("source_file", "file", "r.*")
+
+
+def _classified(rows: DataFrame, header: Sequence[str], names: Sequence[str]) -> DataFrame:
     cells = F.array(*names)
     no_cell = ~F.exists(cells, lambda c: c.isNotNull() & (F.trim(c) != ""))
     blank = F.when(F.col("_bad").isNull(), no_cell).otherwise(F.col("_bad").rlike(r'^[\s,"]*$'))
@@ -166,16 +219,16 @@ def classified_rows(
         .when(cells == F.array(*[F.lit(h) for h in header]), "header")
         .otherwise("data")
     )
-    return rows.select(name.alias("source_file"), F.col("_metadata.file_path").alias("file"), row_class.alias("row_class"), *names)
+    return rows.select("source_file", "file", row_class.alias("row_class"), *names)
 
 
-def _by_layout(spark, path, header, source, quoted_newlines) -> list[tuple[Sequence[str], DataFrame]]:
+def _by_layout(spark, path, header, source, quoted_newlines, split_quoted=False) -> list[tuple[Sequence[str], DataFrame]]:
     """The classified rows of the files with the reference layout, then those of each other layout."""
     others = other_layouts(spark, path, header, source)
     odd = [f for _, files in others for f in files]
-    usual = classified_rows(spark, path, header, source, quoted_newlines)
+    usual = classified_rows(spark, path, header, source, quoted_newlines, split_quoted=split_quoted)
     parts = [(header, usual.filter(~F.col("file").isin(odd)) if odd else usual)]
-    return parts + [(order, classified_rows(spark, path, order, source, quoted_newlines, files)) for order, files in others]
+    return parts + [(order, classified_rows(spark, path, order, source, quoted_newlines, files, split_quoted)) for order, files in others]
 
 
 def normalise(
@@ -184,15 +237,17 @@ def normalise(
     header: Sequence[str] | None = None,
     source: str | None = None,
     quoted_newlines: bool = True,
+    split_quoted: bool = False,
 ) -> DataFrame:
     """Tabular rows of the files as text columns named by the header, with ``source_file``.
 
-    Each file is read by its own header, or by the reference header where it has none.
+    Each file is read by its own header, or by the reference header where it has none. ``split_quoted``: files
+    with quoted newlines are read by many tasks each (see ``records``).
     """
     header = list(header) if header else read_header(spark, path, source)
     parts = [
         rows.filter(F.col("row_class") == "data").select("source_file", *[F.col(f"_c{order.index(h)}").alias(h) for h in header])
-        for order, rows in _by_layout(spark, path, header, source, quoted_newlines)
+        for order, rows in _by_layout(spark, path, header, source, quoted_newlines, split_quoted)
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -230,10 +285,12 @@ def normalisation_counts(
     header: Sequence[str] | None = None,
     source: str | None = None,
     quoted_newlines: bool = True,
+    split_quoted: bool = False,
 ) -> DataFrame:
     """Rows seen, staged (with the one header of a file that has one) and removed, per source."""
     header = list(header) if header else read_header(spark, path, source)
-    parts = [rows.select("source_file", "file", "row_class") for _, rows in _by_layout(spark, path, header, source, quoted_newlines)]
+    layouts = _by_layout(spark, path, header, source, quoted_newlines, split_quoted)
+    parts = [rows.select("source_file", "file", "row_class") for _, rows in layouts]
     per_file = reduce(DataFrame.unionByName, parts).groupBy("source_file", "file").agg(
         *[F.count_if(F.col("row_class") == c).alias(c) for c in ROW_CLASSES]
     )
