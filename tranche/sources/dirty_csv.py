@@ -132,8 +132,8 @@ def records(spark: SparkSession, path: str | Sequence[str], source: str | None =
     it are even in number: quotes are counted per block, the few block sums are carried along the file, and only a
     block's own lines are ordered together. A line inside quotes joins the last record started before it, which may
     lie in an earlier block; that start is carried from block to block the same way. The lines of a record are then
-    grouped by its first line and joined by a line feed (a carriage return before a break is not kept). Lines without
-    any character but blanks, outside quotes, are no record, as the CSV reader skips them. A quote left open runs to the
+    grouped by its first line and joined by a line feed (a carriage return before a break is not kept). Empty lines
+    outside quotes are no record, as the CSV reader skips them (``empty_lines`` counts them); lines of blanks are. A quote left open runs to the
     end of its file, as with the reader.
     """
     # Line ids are numbered once and written: branches of one plan may deal files to tasks differently, and would number them anew.
@@ -152,7 +152,7 @@ def records(spark: SparkSession, path: str | Sequence[str], source: str | None =
     carried = last_of_block.select(*block, F.last("last", ignorenulls=True).over(earlier).alias("carried"))
     upto = W.partitionBy(*block).orderBy("line_id").rowsBetween(W.unboundedPreceding, 0)
     keyed = rows.join(carried, block).withColumn("at", F.coalesce(F.last(start, ignorenulls=True).over(upto), F.col("carried")))
-    kept = keyed.where(~F.col("starts") | (F.trim("value") != ""))
+    kept = keyed.where(~F.col("starts") | (F.col("value") != ""))
     grouped = kept.groupBy("source_file", "file", "at").agg(F.sort_array(F.collect_list(F.struct("block", "line_id", "value"))).alias("lines"))
     return grouped.select(
         "source_file", "file", F.col("at.b").alias("block"), F.col("at.l").alias("line_id"),
