@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tranche.llm.bpe import load as load_bpe
-from tranche.llm.common import fresh, map_batches, written_once
+from tranche.llm.common import fresh, map_batches, shared_folder, written_once
 
 #: Distinct (A id, B id) pairs that may be broadcast to the tasks; more go through a salted shuffle join.
 BROADCAST_PAIRS = 2_000_000
@@ -221,7 +221,11 @@ def report(df: DataFrame, a_path: str | None = None, b_path: str | None = None,
     A pair's count is the number of rows that link it; a link is best where its pair's count is the highest of its A id.
     """
     row, found = fresh(df, "row"), fresh(df, "links")
-    done = written_once(aligned(df, a_path, b_path, text).withColumn(row, F.monotonically_increasing_id()), "alignment")
+    # Written once, zstd-compressed (the groups are long digit texts), so row ids hold and the Python pass runs once.
+    place = shared_folder(df.sparkSession, "alignment")
+    result = aligned(df, a_path, b_path, text).withColumn(row, F.monotonically_increasing_id())
+    result.write.option("compression", "zstd").parquet(place)
+    done = df.sparkSession.read.schema(result.schema).parquet(place)
     links = done.select(row, F.explode(found).alias("l")).select(row, "l.a", "l.b", "l.n")
     counts = links.groupBy("a", "b").agg(F.count("*").alias("count"))
     top = counts.groupBy("a").agg(F.max("count").alias("top"))
