@@ -44,7 +44,9 @@ NEGATIVE_SHARES = (0.85, 0.7, 0.5)
 #: Indexed dimensions taken at once before pruning.
 CHUNK = 16
 #: Anchors scored against a group at once (their score matrix is this many rows by the group's).
-SUBBLOCK = 256
+SUBBLOCK = 128
+#: Pairs whose rows are gathered at once when surviving pairs are scored further.
+PAIRS = 1 << 17
 
 #: DuckDB SQL of the same rows by brute force: every anchor against every row.
 ORACLE_SQL = """
@@ -105,6 +107,15 @@ def matrix(vectors, width: int) -> np.ndarray:
     return out
 
 
+def pair_dots(x: np.ndarray, y: np.ndarray, ai: np.ndarray, yi: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """``x[ai, lo:hi] . y[yi, lo:hi]`` per pair, gathered ``PAIRS`` pairs at a time so that memory stays bounded."""
+    out = np.empty(len(ai), dtype=np.int64)
+    for s in range(0, len(ai), PAIRS):
+        a, b = ai[s : s + PAIRS], yi[s : s + PAIRS]
+        out[s : s + PAIRS] = np.einsum("ij,ij->i", x[a, lo:hi], y[b, lo:hi])
+    return out
+
+
 def threshold_pairs(x: np.ndarray, t: np.ndarray, y: np.ndarray, eligible: np.ndarray):
     """``(anchor, row, score)`` of all eligible pairs with ``x @ y >= t``, by L2AP's index omission and norm pruning."""
     d = x.shape[1]
@@ -129,13 +140,13 @@ def threshold_pairs(x: np.ndarray, t: np.ndarray, y: np.ndarray, eligible: np.nd
     hi = lo
     while hi > start and len(ai):
         lo = max(start, hi - CHUNK)
-        acc = acc + np.einsum("ij,ij->i", x[ai, lo:hi], y[yi, lo:hi])
+        acc = acc + pair_dots(x, y, ai, yi, lo, hi)
         keep = acc + np.floor(x_pre[ai, lo] * y_pre[yi, lo] * (1 + 1e-9) + 1) >= t[ai]
         ai, yi, acc = ai[keep], yi[keep], acc[keep]
         hi = lo
     # Verification: the omitted dimensions, read only for the survivors.
     if start > 0 and len(ai):
-        acc = acc + np.einsum("ij,ij->i", x[ai, :start], y[yi, :start])
+        acc = acc + pair_dots(x, y, ai, yi, 0, start)
     keep = acc >= t[ai]
     return ai[keep], yi[keep], acc[keep]
 
