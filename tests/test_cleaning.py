@@ -105,3 +105,20 @@ def test_contracts(spark):
 def test_strip_handles_all_whitespace(spark):
     df = frame(spark, "s string", ("\x0b\f\r a b \t\n",))
     assert df.select(text.strip(F.col("s")).alias("s")).first().s == "a b"
+
+
+def test_observed_write_counts_its_rows_and_fails_on_broken_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tranche import contracts
+
+    df = spark.createDataFrame([(1, 0.5), (2, 0.7), (3, 0.1)], "id long, score double")
+    got = contracts.observed_write(df, str(tmp_path / "ok"), {"in_range": F.col("score").between(0, 1)}, "id", {"high": F.count_if(F.col("score") > 0.6)})
+    assert (got["rows"], got["key_nulls"], got["in_range"], got["high"]) == (3, 0, 0, 1)
+    assert spark.read.parquet(str(tmp_path / "ok")).count() == 3
+    with pytest.raises(contracts.ContractViolation):
+        contracts.observed_write(spark.createDataFrame([(None, 0.5)], "id long, score double"), str(tmp_path / "nokey"), {}, "id")
+    bad = df.unionByName(spark.createDataFrame([(4, 1.5)], "id long, score double"))
+    with pytest.raises(contracts.ContractViolation):
+        contracts.observed_write(bad, str(tmp_path / "bad"), {"in_range": F.col("score").between(0, 1)})
+    assert not (tmp_path / "bad").exists() and (tmp_path / "bad._staging").exists()

@@ -82,3 +82,37 @@ def same_columns(left: DataFrame, right: DataFrame, ordered: bool = False) -> No
     a, b = list(left.columns), list(right.columns)
     if (a != b) if ordered else (set(a) != set(b)):
         raise ContractViolation(f"columns differ: {sorted(set(a) ^ set(b)) or 'order'}")
+
+
+def observed_write(
+    df: DataFrame, path: str, checks: dict[str, Column], key: str | None = None, counts: dict[str, Column] | None = None, name: str = "write"
+) -> dict:
+    """Write ``df`` as parquet to ``path`` and return the write's own metrics; fail it where a check is broken.
+
+    The metrics are observed on the rows as they are written (``DataFrame.observe``), so they cost no job of their
+    own: ``rows``, ``key_nulls`` (with ``key``) and, for every boolean ``check``, the number of rows that break it
+    (null counts as broken); ``counts`` are further aggregates, observed and returned but not enforced. Files go to a staging folder beside ``path`` and are renamed to ``path`` only when no
+    check is broken; otherwise the staging folder stays (for a look) and ``ContractViolation`` is raised.
+    """
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    metrics = [F.count(F.lit(1)).alias("rows")]
+    if key is not None:
+        metrics.append(F.count_if(F.col(key).isNull()).alias("key_nulls"))
+    metrics += [F.count_if(~F.coalesce(check, F.lit(False))).alias(n) for n, check in checks.items()]
+    metrics += [aggregate.alias(n) for n, aggregate in (counts or {}).items()]
+    staging = path.rstrip("/") + "._staging"
+    df.observe(seen, *metrics).write.parquet(staging)
+    got = dict(seen.get)
+    broken = {n: got[n] for n in checks if got[n]}
+    if key is not None and got["key_nulls"]:
+        broken["key_nulls"] = got["key_nulls"]
+    if broken:
+        raise ContractViolation(f"write to {path} broke {broken}; files kept in {staging}")
+    jvm = df.sparkSession._jvm
+    source = jvm.org.apache.hadoop.fs.Path(staging)
+    system = source.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    if not system.rename(source, jvm.org.apache.hadoop.fs.Path(path)):
+        raise OSError(f"could not publish {staging} as {path}")
+    return got

@@ -8,7 +8,9 @@ from tranche import contracts
 from tranche.operators import cleaning, cohort, drift
 from tranche.plans.audit_frames import NULLS_SQL, audit_test, audit_train, with_nulls
 from tranche.plans.loans import clean_loans, modeled_loans, raw_loans, stored_loans, table
+from tranche.functions.shape import local_table
 from tranche.plans.registry import check, n, query, r, rounded
+from tranche.plans.session import shared_folder
 
 # Columns that leave the clean layer before modeling.
 EXCLUDED = ["issue_d", "pymnt_plan"]
@@ -199,6 +201,29 @@ def c18_checkpoint_metrics(spark, sf_dir):
     )
 
 
+@query(
+    "c18_checkpoint_metrics_observed",
+    check(
+        """SELECT 'clean' AS checkpoint_name, 'loans' AS dataset_name, COUNT(*) AS row_count,
+           CAST(COUNT(*) - COUNT(row_id) AS BIGINT) AS id_nulls, COUNT(*) FILTER (WHERE pymnt_plan = 1) AS payment_plans,
+           COUNT(*) FILTER (WHERE NOT (score BETWEEN 0 AND 1) OR score IS NULL) AS score_out_of_range FROM clean"""
+    ),
+)
+def c18_checkpoint_metrics_observed(spark, sf_dir):
+    """The clean layer written once; its checkpoint metrics are observed on that write, with no pass of their own."""
+    clean = clean_loans(raw_loans(spark, sf_dir))
+    got = contracts.observed_write(
+        clean, shared_folder(spark, "clean-layer"), {"score_in_range": F.col("score").between(0, 1)}, "row_id",
+        {"payment_plans": F.count_if(F.col("pymnt_plan") == 1)}, "clean",
+    )
+    row = {
+        "checkpoint_name": "clean", "dataset_name": "loans", "row_count": got["rows"], "id_nulls": got["key_nulls"],
+        "payment_plans": got["payment_plans"], "score_out_of_range": got["score_in_range"],
+    }
+    schema = "checkpoint_name string, dataset_name string, row_count bigint, id_nulls bigint, payment_plans bigint, score_out_of_range bigint"
+    return local_table(spark, [row], schema)
+
+
 @query(
     "contracts_row_checks",
     check(
