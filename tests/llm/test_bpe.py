@@ -69,3 +69,10 @@ def test_digest_is_of_little_endian_ids(spark):
     got = {r.k: r.ids_sha256 for r in bpe.ids_digest(df).collect()}
     assert got[1] == hashlib.sha256(np.array([1, 256, 70000], "<u4").tobytes()).hexdigest()
     assert got[2] == got[3] == hashlib.sha256(b"").hexdigest()
+
+
+def test_round_trip_equals_the_three_steps(spark):
+    docs = documents(spark).withColumnRenamed("pieces", "decoded")
+    one = bpe.round_trip(docs).select("doc_id", "text", "ids", "ids_sha256", "decoded_").collect()
+    three = bpe.ids_digest(bpe.decode(bpe.encode(docs), ids="ids", out="decoded_")).select("doc_id", "text", "ids", "ids_sha256", "decoded_").collect()
+    assert sorted(map(repr, one)) == sorted(map(repr, three))

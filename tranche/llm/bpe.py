@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from itertools import chain
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -88,59 +89,69 @@ def load(path: str) -> Vocabulary:
 
 def merge_pieces(pieces: list[bytes], vocab: Vocabulary) -> list[list[int]]:
     """Ids of each piece: all pieces' pairs are indexed by position, then ranks are applied in ascending order."""
-    symbol, after, before, alive = [], [], [], []
+    byte_ids = vocab.byte_ids
+    symbol = [byte_ids[b] for piece in pieces for b in piece]
+    size = len(symbol)
+    after = list(range(1, size + 1))
+    before = list(range(-1, size - 1))
+    starts, at = [], 0
     for piece in pieces:
-        start = len(symbol)
-        for k, b in enumerate(piece):
-            symbol.append(vocab.byte_ids[b])
-            before.append(start + k - 1 if k else -1)
-            after.append(start + k + 1 if k + 1 < len(piece) else -1)
-            alive.append(True)
+        starts.append(at)
+        if piece:
+            before[at] = -1
+            at += len(piece)
+            after[at - 1] = -1
+    alive = [True] * size
     merges = vocab.merges
     where: dict[tuple[int, int], list[int]] = {}
     ranks: list[tuple[int, tuple[int, int]]] = []
-
-    def index(pos: int) -> None:
-        nxt = after[pos]
-        if nxt < 0:
-            return
-        pair = (symbol[pos], symbol[nxt])
-        if pair in merges:
+    push = heapq.heappush
+    for pos in range(size - 1):
+        if after[pos] < 0:
+            continue
+        pair = (symbol[pos], symbol[pos + 1])
+        found = merges.get(pair)
+        if found is not None:
             places = where.get(pair)
             if places is None:
                 where[pair] = [pos]
-                heapq.heappush(ranks, (merges[pair][0], pair))
+                push(ranks, (found[0], pair))
             else:
                 places.append(pos)
-
-    for pos in range(len(symbol)):
-        index(pos)
     while ranks:
         _, pair = heapq.heappop(ranks)
         places = where.pop(pair)
         left, right = pair
         merged = merges[pair][1]
-        for pos in sorted(set(places)):
+        for pos in sorted(set(places)) if len(places) > 1 else places:
             nxt = after[pos]
             if not alive[pos] or nxt < 0 or symbol[pos] != left or symbol[nxt] != right:
                 continue
             symbol[pos] = merged
             alive[nxt] = False
-            after[pos] = after[nxt]
-            if after[pos] >= 0:
-                before[after[pos]] = pos
-            if before[pos] >= 0:
-                index(before[pos])
-            index(pos)
+            nxt = after[pos] = after[nxt]
+            if nxt >= 0:
+                before[nxt] = pos
+            # The pairs that the merge makes with both neighbours are indexed at their places.
+            for place, other in ((before[pos], pos), (pos, nxt)):
+                if place < 0 or other < 0:
+                    continue
+                made = (symbol[place], symbol[after[place]])
+                found = merges.get(made)
+                if found is not None:
+                    known = where.get(made)
+                    if known is None:
+                        where[made] = [place]
+                        push(ranks, (found[0], made))
+                    else:
+                        known.append(place)
     out = []
-    start = 0
-    for piece in pieces:
+    for piece, start in zip(pieces, starts):
         ids, pos = [], start if piece else -1
         while pos >= 0:
             ids.append(symbol[pos])
             pos = after[pos]
         out.append(ids)
-        start += len(piece)
     return out
 
 
@@ -156,7 +167,7 @@ class Encoder:
 
     def parts(self, text: str) -> list[tuple[bool, str]]:
         """``(is added token, string)`` in order: added tokens are cut out first, leftmost and longest."""
-        if self.added is None:
+        if self.added is None or not self.added.search(text):
             return [(False, text)]
         out, at = [], 0
         for hit in self.added.finditer(text):
@@ -169,34 +180,34 @@ class Encoder:
         return out
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+        findall, known, added = self.pattern.findall, self.known, self.vocab.added
         cut = []
-        new: dict[str, None] = {}
-        seen: dict[str, None] = {}
+        new: set[str] = set()
         for text in texts:
             pieces = []
             for special, part in self.parts(text or ""):
                 if special:
-                    pieces.append((True, part))
+                    pieces.append(part)
                     continue
-                for piece in self.pattern.findall(part):
-                    pieces.append((False, piece))
-                    seen[piece] = None
-                    if piece not in self.known:
-                        new[piece] = None
+                found = findall(part)
+                new.update(p for p in found if p not in known)
+                pieces.append(found)
             cut.append(pieces)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, seen
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = {p for pieces in cut for found in pieces if not isinstance(found, str) for p in found}
         fresh_pieces = list(new)
         for piece, ids in zip(fresh_pieces, merge_pieces([p.encode("utf-8") for p in fresh_pieces], self.vocab)):
-            self.known[piece] = ids
+            known[piece] = ids
+        lookup = known.__getitem__
         out = []
         for pieces in cut:
             ids = []
-            for special, piece in pieces:
-                if special:
-                    ids.append(self.vocab.added[piece])
+            for found in pieces:
+                if isinstance(found, str):
+                    ids.append(added[found])
                 else:
-                    ids.extend(self.known[piece])
+                    ids.extend(chain.from_iterable(map(lookup, found)))
             out.append(ids)
         return out
 
@@ -208,7 +219,7 @@ def decode_ids(ids, vocab: Vocabulary) -> str:
     size = len(vocab.token_bytes)
     if any(i is None or i < 0 or i >= size for i in ids):
         raise ValueError("an id outside the vocabulary")
-    return b"".join(vocab.token_bytes[i] for i in ids).decode("utf-8", "replace")
+    return b"".join(map(vocab.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def encode(df: DataFrame, vocab_path: str | None = None, text: str = "text", out: str = "ids", split_added: bool = True) -> DataFrame:
@@ -256,3 +267,29 @@ def ids_digest(df: DataFrame, ids: str = "ids", out: str = "ids_sha256") -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], schema=pa.schema([*batch.schema, pa.field(out, pa.string(), False)]))
 
     return map_batches(df, run, schema)
+
+
+def round_trip(df: DataFrame, vocab_path: str | None = None, text: str = "text", split_added: bool = True) -> DataFrame:
+    """``df`` with ``ids``, ``ids_sha256`` and ``decoded`` (the text of those ids) from one pass over each batch.
+
+    The same as ``encode`` then ``ids_digest`` and ``decode``, without sending the ids back to Python twice.
+    """
+    path = vocab_path or public_vocabulary()
+    names = [fresh(df, "ids"), fresh(df, "ids_sha256"), fresh(df, "decoded")]
+    kinds = [T.ArrayType(T.IntegerType(), False), T.StringType(), T.StringType()]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, k, False) for n, k in zip(names, kinds)]])
+    arrow = [pa.list_(pa.int32()), pa.string(), pa.string()]
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = load(path)
+        encoder = Encoder(vocab, split_added)
+        for batch in batches:
+            ids = encoder.encode_batch(batch.column(at).to_pylist())
+            digests = [hashlib.sha256(np.asarray(i, dtype="<u4").tobytes()).hexdigest() for i in ids]
+            texts = [decode_ids(i, vocab) for i in ids]
+            columns = [pa.array(ids, arrow[0]), pa.array(digests, arrow[1]), pa.array(texts, arrow[2])]
+            fields = [*batch.schema, *[pa.field(n, k, False) for n, k in zip(names, arrow)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema=pa.schema(fields))
+
+    return map_batches(df, run, schema)

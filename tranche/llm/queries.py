@@ -109,8 +109,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_bpe")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, bpe.public_vocabulary(), out="ids"), bpe.public_vocabulary(), ids="ids", out="decoded")
-    found = bpe.ids_digest(coded.select("doc_id", "ids", "decoded"), "ids", "ids_sha256")
+    found = bpe.round_trip(docs, bpe.public_vocabulary())
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
