@@ -212,6 +212,18 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def shared_encoder(path: str, split_added: bool = True) -> Encoder:
+    """One encoder per vocabulary in a Python worker: Spark reuses workers across tasks, so the vocabulary is read
+    once and remembered pieces serve later tasks too (still at most ``REMEMBERED``)."""
+    key = (path, split_added)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(load(path), split_added)
+    return _ENCODERS[key]
+
+
 def decode_ids(ids, vocab: Vocabulary) -> str:
     """The text of ``ids``: their bytes joined, read as UTF-8 with replacement characters for broken sequences."""
     if ids is None:
@@ -230,7 +242,7 @@ def encode(df: DataFrame, vocab_path: str | None = None, text: str = "text", out
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load(path), split_added)
+        encoder = shared_encoder(path, split_added)
         for batch in batches:
             ids = encoder.encode_batch(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32(), ))], schema=pa.schema([*batch.schema, pa.field(out, pa.list_(pa.int32()), False)]))
@@ -282,8 +294,8 @@ def round_trip(df: DataFrame, vocab_path: str | None = None, text: str = "text",
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = load(path)
-        encoder = Encoder(vocab, split_added)
+        encoder = shared_encoder(path, split_added)
+        vocab = encoder.vocab
         for batch in batches:
             ids = encoder.encode_batch(batch.column(at).to_pylist())
             digests = [hashlib.sha256(np.asarray(i, dtype="<u4").tobytes()).hexdigest() for i in ids]
