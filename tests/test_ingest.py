@@ -99,3 +99,17 @@ def test_split_quoted_records_equal_the_whole_file_reader(spark, tmp_path):
         assert split.where("row_class = 'data'").count() == 400
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_first_row_of_a_headless_file_may_hold_a_line_break(spark, tmp_path):
+    """The first record with cells is read whole, wherever in the file it begins or ends."""
+    write(tmp_path, "a.csv", '"Notes,\noffered"\n"id","term","note"\n1,2,x\n')
+    write(tmp_path, "b.csv", '"Notes, offered"\n10,2,"x, ""late""\nnext, line"\n11,2,y\n')
+    write(tmp_path, "c.csv", 'about 5" of notes\n' + "line\n" * dirty_csv.HEAD_LINES * 2 + '20,2,"' + "more\n" * dirty_csv.HEAD_LINES + '"\n')
+    headers = {r.source_file: r.header for r in dirty_csv.first_tabular_lines(spark, str(tmp_path)).collect()}
+    assert headers == {"a.csv": ["id", "term", "note"], "b.csv": ["10", "2", 'x, "late"\nnext, line'], "c.csv": ["20", "2", "more\n" * dirty_csv.HEAD_LINES]}
+    for split in (False, True):
+        rows = dirty_csv.normalise(spark, [str(tmp_path / f) for f in ("a.csv", "b.csv")], split_quoted=split).collect()
+        assert sorted((r.id, r.note) for r in rows) == [("1", "x"), ("10", 'x, "late"\nnext, line'), ("11", "y")]
+        counts = dirty_csv.normalisation_counts(spark, str(tmp_path / "b.csv"), ["id", "term", "note"], split_quoted=split).first()
+        assert (counts.staged_row_count, counts.removed_non_tabular_row_count, counts.source_row_count) == (2, 1, 3)

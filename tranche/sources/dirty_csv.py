@@ -15,6 +15,11 @@ from tranche.plans.session import written_once
 
 # Text between quotes, in a line.
 QUOTED = '"[^"]*"'
+# A line whose last cell starts with a quote and doesn't close it; and text between quotes or after the last open one.
+LEFT_OPEN = '^(?:(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|(?!")[^,]*+),)*+"[^"]*+(?:""[^"]*+)*+$'
+OPEN_OR_QUOTED = '"[^"]*("|$)'
+# Lines of a file that are looked at first for its header.
+HEAD_LINES = 64
 PREVIEW_LINES = 8
 PREVIEW_WIDTH = 250
 ROW_CLASSES = ["data", "header", "non_tabular", "blank"]
@@ -65,40 +70,106 @@ def preview(spark: SparkSession, path: str | Sequence[str], source: str | None =
     )
 
 
-def first_tabular_lines(spark: SparkSession, path: str | Sequence[str], source: str | None = None) -> DataFrame:
-    """(source_file, file, header): cell names of the first line with more than one cell, per file.
+def first_tabular_lines(
+    spark: SparkSession, path: str | Sequence[str], source: str | None = None, quoted_newlines: bool = True
+) -> DataFrame:
+    """(source_file, file, header): cell names of the first record with more than one cell, per file.
 
-    A comma between quotes separates nothing, so a quoted sentence is one cell.
+    A comma between quotes separates nothing, so a quoted sentence is one cell. With quoted newlines a record goes on
+    over the lines of a cell left open, so the first row of a file without a header is read whole.
     """
     bare = F.regexp_replace("value", QUOTED, "")
-    rows = text_lines(spark, path, source).filter(bare.contains(","))
-    first = F.row_number().over(W.partitionBy("source_file", "file").orderBy("block", "line_id"))
-    found = rows.withColumn("rank", first).filter(F.col("rank") == 1)
+    lines = text_lines(spark, path, source)
+    if quoted_newlines:
+        found = _first_tabular_records(lines)
+    else:
+        first = F.row_number().over(W.partitionBy("source_file", "file").orderBy("block", "line_id"))
+        found = lines.filter(bare.contains(",")).withColumn("rank", first).filter(F.col("rank") == 1)
     # Quoted cells are kept whole: a comma counts where an even number of quotes follows it.
     cells = F.split(F.trim("value"), r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
     plain = F.transform(cells, lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"')))
     return found.select("source_file", "file", plain.alias("header"))
 
 
-def header_consistency(spark: SparkSession, path: str | Sequence[str], source: str | None = None) -> DataFrame:
+def _first_tabular_records(lines: DataFrame) -> DataFrame:
+    """(source_file, file, value): the first record with more than one cell, per file that has one.
+
+    Only the first lines of a file are gathered. Files whose first tabular record ends later are read again with more
+    lines, until it is found or the file ends; only their paths come to the driver.
+    """
+    keys = ["source_file", "file"]
+    in_order = W.partitionBy(*keys).orderBy("block", "line_id")
+    found, size, left = [], HEAD_LINES, None
+    while left is None or left:
+        rows = lines.filter(F.col("file").isin(left)) if left else lines
+        # One line more than is looked at tells whether the file goes on.
+        head = rows.withColumn("rank", F.row_number().over(in_order)).filter(F.col("rank") <= size + 1)
+        gathered = head.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("all"))
+        more = F.size("all") > size
+        ends = gathered.select(*keys, more.alias("more"), F.slice(F.transform("all", lambda x: x["value"]), 1, size).alias("lines"))
+        looked = written_once(ends.select(*keys, "more", _first_tabular_record("lines").alias("value")), "csv-heads")
+        found.append(looked.filter(F.col("value").isNotNull()).select(*keys, "value"))
+        left = [r.file for r in looked.filter(F.col("value").isNull() & F.col("more")).select("file").collect()]
+        size *= HEAD_LINES
+    return reduce(DataFrame.unionByName, found)
+
+
+def _first_tabular_record(lines: str) -> Column:
+    """The first record with more than one cell of an array of lines; a cell left open goes on in the next line.
+
+    A record that the array cuts short is not taken, unless the array ends the file (``more`` is false).
+    """
+    number = F.lit(None).cast("int")
+    start = F.struct(
+        F.lit(0).alias("i"), F.lit(False).alias("open"), F.lit(0).alias("start"), F.lit(False).alias("tabular"),
+        number.alias("first"), number.alias("last"),
+    )
+
+    def step(s: Column, line: Column) -> Column:
+        # A line inside a quoted cell is what follows the opening quote.
+        text = F.when(s["open"], F.concat(F.lit('"'), line)).otherwise(line)
+        opens = text.rlike(LEFT_OPEN)
+        comma = F.when(opens, F.regexp_replace(text, OPEN_OR_QUOTED, "")).otherwise(F.regexp_replace(text, QUOTED, "")).contains(",")
+        tabular = (s["open"] & s["tabular"]) | comma
+        begin = F.when(s["open"], s["start"]).otherwise(s["i"])
+        ends = s["last"].isNull() & ~opens & tabular
+        return F.struct(
+            (s["i"] + 1).alias("i"), opens.alias("open"), begin.alias("start"), tabular.alias("tabular"),
+            F.when(ends, begin).otherwise(s["first"]).alias("first"), F.when(ends, s["i"]).otherwise(s["last"]).alias("last"),
+        )
+
+    def record(s: Column) -> Column:
+        # A quote left open runs to the end of the file.
+        runs_out = s["last"].isNull() & s["open"] & s["tabular"] & ~F.col("more")
+        first, last = F.when(runs_out, s["start"]).otherwise(s["first"]), F.when(runs_out, s["i"] - 1).otherwise(s["last"])
+        return F.when(last.isNotNull(), F.array_join(F.slice(F.col(lines), first + 1, last - first + 1), "\n"))
+
+    return F.aggregate(F.col(lines), start, step, record)
+
+
+def header_consistency(
+    spark: SparkSession, path: str | Sequence[str], source: str | None = None, quoted_newlines: bool = True
+) -> DataFrame:
     """Whether each file has the reference header, in its order."""
-    expected = F.array(*[F.lit(name) for name in read_header(spark, path, source)])
+    expected = F.array(*[F.lit(name) for name in read_header(spark, path, source, quoted_newlines)])
     return (
-        first_tabular_lines(spark, path, source)
+        first_tabular_lines(spark, path, source, quoted_newlines)
         .groupBy("source_file")
         .agg(F.min(F.col("header").eqNullSafe(expected)).alias("matches_reference_schema"))
         .orderBy("source_file")
     )
 
 
-def read_header(spark: SparkSession, path: str | Sequence[str], source: str | None = None) -> list[str]:
-    """The reference header: the first tabular line that most files share, of equals that of the first source.
+def read_header(
+    spark: SparkSession, path: str | Sequence[str], source: str | None = None, quoted_newlines: bool = True
+) -> list[str]:
+    """The reference header: the first tabular record that most files share, of equals that of the first source.
 
-    A line with a number, an empty cell or a name twice is a header only where no file has a better one.
+    A record with a number, an empty cell or a name twice is a header only where no file has a better one.
     """
     cell = F.col("header")
     odd = F.exists(cell, lambda c: c.try_cast("double").isNotNull() | (c == "")) | (F.size(F.array_distinct(cell)) < F.size(cell))
-    shared = first_tabular_lines(spark, path, source).groupBy("header").agg(F.count(F.lit(1)).alias("n"), F.min("source_file").alias("at"))
+    shared = first_tabular_lines(spark, path, source, quoted_newlines).groupBy("header").agg(F.count(F.lit(1)).alias("n"), F.min("source_file").alias("at"))
     row = shared.agg(F.min_by("header", F.struct(odd, -F.col("n"), "at")).alias("h")).first()
     if row is None or row.h is None:
         raise ValueError("no line with more than one cell")
@@ -106,7 +177,7 @@ def read_header(spark: SparkSession, path: str | Sequence[str], source: str | No
 
 
 def other_layouts(
-    spark: SparkSession, path: str | Sequence[str], header: Sequence[str], source: str | None = None
+    spark: SparkSession, path: str | Sequence[str], header: Sequence[str], source: str | None = None, quoted_newlines: bool = True
 ) -> list[tuple[list[str], list[str]]]:
     """(columns in the file's order, files) for files that don't start with the reference header.
 
@@ -114,7 +185,7 @@ def other_layouts(
     disagree otherwise fail the call. Only the paths of such files come to the driver.
     """
     expected = F.array(*[F.lit(name) for name in header])
-    rest = first_tabular_lines(spark, path, source).filter(~F.col("header").eqNullSafe(expected))
+    rest = first_tabular_lines(spark, path, source, quoted_newlines).filter(~F.col("header").eqNullSafe(expected))
     reordered = F.array_sort("header").eqNullSafe(F.array_sort(expected))
     headless = (F.size("header") == len(header)) & ~F.arrays_overlap("header", expected)
     order = F.when(reordered, F.col("header")).when(headless, expected)
@@ -224,7 +295,7 @@ def _classified(rows: DataFrame, header: Sequence[str], names: Sequence[str]) ->
 
 def _by_layout(spark, path, header, source, quoted_newlines, split_quoted=False) -> list[tuple[Sequence[str], DataFrame]]:
     """The classified rows of the files with the reference layout, then those of each other layout."""
-    others = other_layouts(spark, path, header, source)
+    others = other_layouts(spark, path, header, source, quoted_newlines)
     odd = [f for _, files in others for f in files]
     usual = classified_rows(spark, path, header, source, quoted_newlines, split_quoted=split_quoted)
     parts = [(header, usual.filter(~F.col("file").isin(odd)) if odd else usual)]
@@ -244,7 +315,7 @@ def normalise(
     Each file is read by its own header, or by the reference header where it has none. ``split_quoted``: files
     with quoted newlines are read by many tasks each (see ``records``).
     """
-    header = list(header) if header else read_header(spark, path, source)
+    header = list(header) if header else read_header(spark, path, source, quoted_newlines)
     parts = [
         rows.filter(F.col("row_class") == "data").select("source_file", *[F.col(f"_c{order.index(h)}").alias(h) for h in header])
         for order, rows in _by_layout(spark, path, header, source, quoted_newlines, split_quoted)
@@ -288,7 +359,7 @@ def normalisation_counts(
     split_quoted: bool = False,
 ) -> DataFrame:
     """Rows seen, staged (with the one header of a file that has one) and removed, per source."""
-    header = list(header) if header else read_header(spark, path, source)
+    header = list(header) if header else read_header(spark, path, source, quoted_newlines)
     layouts = _by_layout(spark, path, header, source, quoted_newlines, split_quoted)
     parts = [rows.select("source_file", "file", "row_class") for _, rows in layouts]
     per_file = reduce(DataFrame.unionByName, parts).groupBy("source_file", "file").agg(
