@@ -93,3 +93,14 @@ def test_constant_features_and_zero_weights(spark):
     assert all(levels == [] for levels, _ in model.trees)
     zero = hb.fit(df, ["x1"], "y", "w", iterations=1, depth=2)
     assert zero.trees == [] or all(v == 0 for v in zero.trees[0][1])
+
+
+def test_bins_are_found_by_halving(spark):
+    borders = [float(b) for b in range(0, 254, 2)]
+    values = [None, float("nan"), float("-inf"), float("inf"), -1.0, 0.0, 0.5, 2.0, 251.0, 252.0, 252.5]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for cut in (borders, borders[:1], borders[:2], borders[:64], []):
+        got = [r.b for r in df.select(hb.binned(F.col("x"), cut).alias("b")).collect()]
+        assert got == [len(cut) + 1 if v is None or v != v else sum(v > b for b in cut) for v in values]
+    plan = df.select(hb.binned(F.col("x"), borders).alias("b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate([64,32,16,8,4,2,1]" in plan  # seven steps a value for 127 borders
