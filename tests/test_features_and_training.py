@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 from frames import frame
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tranche import contracts
@@ -105,6 +106,15 @@ def test_models_learn_and_round_trip(spark, planted, tmp_path):
     assert joined.filter(F.abs(F.col("p") - F.col("predicted_probability")) > 1e-12).count() == 0
 
 
+def test_models_score_in_a_session_that_made_an_observation(planted):
+    seen = Observation()
+    planted.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 1200
+    train = planted.filter("split = 'train'")
+    for model, _ in (training.logistic_regression(train, ["x", "z"], max_iter=50), training.random_forest(train, ["x", "z"], trees=3, max_depth=3)):
+        assert training.score(model, planted).filter("predicted_probability BETWEEN 0 AND 1").count() == 1200
+
+
 def test_training_contracts(planted):
     one_class = planted.filter("target_default = 1")
     with pytest.raises(contracts.ContractViolation):
