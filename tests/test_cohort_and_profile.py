@@ -32,6 +32,13 @@ def test_audits(sides):
         profile.audit_strings(sides[0], 0)
 
 
+def test_numeric_audit_computes_its_input_once(spark):
+    df = frame(spark, "a bigint, b double", (1, 2.0), (2, None)).filter("a <> 987654321")
+    audit = profile.audit_numbers(df)
+    assert "987654321" not in audit._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.column_name, r.median, r.unique_count_including_null, r.null_percent) for r in audit.collect()} == {("a", 1.5, 2, 0.0), ("b", 2.0, 2, 50.0)}
+
+
 def test_residual_text_flags(spark):
     df = frame(spark, "a string, b string, c string", ("12-3.4", "x", None), ("7%", "y", None))
     got = {r.column_name: r for r in profile.residual_text(df, "train").collect()}
