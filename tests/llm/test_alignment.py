@@ -88,3 +88,17 @@ def test_slices_cover_every_row_once(spark, monkeypatch):
     assert [p.num_rows for p in parts] == [2, 1, 2, 1]
     assert sum((p.column(0).to_pylist() for p in parts), []) == batch.column(0).to_pylist()
     assert [p.num_rows for p in al.slices(batch.slice(0, 0), 0)] == [0]
+
+
+def test_digests_travel_through_the_join_instead_of_the_texts(spark):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark).select("doc_id", "text").where("length(text) < 1000 or text is null")
+    narrow = al.report(docs, instead={"digest": F.sha2("groups", 256)})
+    assert narrow.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "digest", "n_best", "count_sum"]
+    whole = al.report(docs).select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.sha2("groups", 256).alias("digest"), "n_best", "count_sum")
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, narrow.collect())) == sorted(map(key, whole.collect()))
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join") :].splitlines()
+    assert "sha2" in join[1]

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,7 +103,8 @@ class Sides:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(texts)
         if not present:
             return out
-        a_ids = self.a.encode_batch([" " + texts[i] for i in present], add_special_tokens=False)
+        # The fast form leaves out character offsets; the ids are the same.
+        a_ids = self.a.encode_batch_fast([" " + texts[i] for i in present], add_special_tokens=False)
         b_ids = self.b.encode([texts[i] for i in present], num_threads=1)
         for i, a, b in zip(present, a_ids, b_ids):
             whole = (" " + texts[i]).encode("utf-8")
@@ -150,17 +151,20 @@ def align_batch(pairs: list[tuple[np.ndarray, np.ndarray]], a_len: np.ndarray, b
     key |= np.concatenate([by_a["b"].to_numpy(), by_b["b"].to_numpy()]).astype(np.int64)
     distinct, n = np.unique(key, return_counts=True)
     a_doc, b_doc = a["doc"].to_numpy(), b["doc"].to_numpy()
-    cuts = np.intersect1d(a["end"].to_numpy(), b["end"].to_numpy())
-    a_group = np.searchsorted(cuts, a["end"].to_numpy())
-    b_group = np.searchsorted(cuts, b["end"].to_numpy())
+    # Both sides' ends are in order: common ones are found by halving, without hashing or sorting them.
+    a_ends, b_ends = a["end"].to_numpy(), b["end"].to_numpy()
+    cuts = a_ends[np.searchsorted(b_ends, a_ends, "right") > np.searchsorted(b_ends, a_ends)]
+    cuts = cuts[np.append(True, cuts[1:] != cuts[:-1])] if len(cuts) else cuts
+    a_group = np.searchsorted(cuts, a_ends)
+    b_group = np.searchsorted(cuts, b_ends)
     # Groups text: every token with the sign after it; A tokens of a group before its B tokens, groups in order.
     a_last = np.append(a_group[1:] != a_group[:-1], True) if len(a_group) else np.zeros(0, bool)
     b_last = np.append(b_group[1:] != b_group[:-1], True) if len(b_group) else np.zeros(0, bool)
     b_end = np.append(b_doc[1:] != b_doc[:-1], True) if len(b_doc) else np.zeros(0, bool)
     a_sign = np.where(a_last, "|", ",").astype(object)
     b_sign = np.where(b_end, "", np.where(b_last, ";", ",")).astype(object)
-    group = np.concatenate([a_group, b_group])
-    order = np.lexsort((np.arange(len(group)), np.r_[np.zeros(len(a_group)), np.ones(len(b_group))], group))
+    # Two sorted runs: a stable sort merges them, A tokens of a group before its B tokens.
+    order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
     numbers = np.concatenate([decimal(a["a"].to_numpy()), decimal(b["b"].to_numpy())])[order]
     signs = np.empty(2 * len(order), dtype=object)
     signs[0::2], signs[1::2] = numbers, np.concatenate([a_sign, b_sign])[order]
@@ -215,10 +219,14 @@ def aligned(df: DataFrame, a_path: str | None = None, b_path: str | None = None,
     return map_batches(df, run, schema)
 
 
-def report(df: DataFrame, a_path: str | None = None, b_path: str | None = None, text: str = "text") -> DataFrame:
+def report(
+    df: DataFrame, a_path: str | None = None, b_path: str | None = None, text: str = "text", instead: dict[str, Column] | None = None
+) -> DataFrame:
     """Every row of ``df`` with its alignment and ``n_best`` and ``count_sum`` from the corpus-wide pair counts.
 
     A pair's count is the number of rows that link it; a link is best where its pair's count is the highest of its A id.
+    ``instead``: columns made of the aligned ones that stand for the text, groups and links in the result, so that the
+    last join shuffles those (a digest, say) and not the long columns they are made of.
     """
     row, found = fresh(df, "row"), fresh(df, "links")
     # Written once, zstd-compressed (the groups are long digit texts), so row ids hold and the Python pass runs once.
@@ -242,5 +250,8 @@ def report(df: DataFrame, a_path: str | None = None, b_path: str | None = None,
     )
     n_best, count_sum = fresh(done, "n_best"), fresh(done, "count_sum")
     per_row = per_row.withColumnsRenamed({"n_best": n_best, "count_sum": count_sum})
+    if instead:
+        groups = fresh(df, "groups")
+        done = done.withColumns(instead).drop(*[c for c in (text, groups, found) if c not in instead])
     out = done.join(per_row, row, "left").withColumns({n_best: F.coalesce(n_best, F.lit(0)), count_sum: F.coalesce(count_sum, F.lit(0))})
     return out.drop(row)

@@ -121,11 +121,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = alignment.report(docs, *alignment.public_paths())
     digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2(F.encode("groups", "UTF-8"), 256))
-    return found.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256")
-    )
+    found = alignment.report(docs, *alignment.public_paths(), instead={"groups_sha256": digest})
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 @query("op13_hard_negatives", hard_negatives.ORACLE_SQL)
