@@ -48,6 +48,20 @@ def test_rank_order_within_a_piece(vocab):
     assert bpe.merge_pieces([b"aaa", b"", b"aaaaa"], vocab) == bpe.merge_pieces([b"aaa"], vocab) + [[]] + bpe.merge_pieces([b"aaaaa"], vocab)
 
 
+def test_pieces_merged_in_arrays_equal_those_merged_by_the_index(vocab, library, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["ing", "aaaa", "the", "ü", "日本", "  ", "\n", "9", "'", "qu", "\x1f"]
+    pieces = ["".join(rng.choice(words, n)).encode() for n in range(40) for _ in range(6)]
+    whole = bpe.merge_pieces(pieces, vocab)
+    assert whole == bpe.merge_long(pieces, vocab) and {len(p) > max(bpe.WIDTHS) for p in pieces} == {True, False}
+    monkeypatch.setattr(bpe, "BLOCK", 3)
+    assert bpe.merge_pieces(pieces, vocab) == whole
+    texts = ["".join(map(chr, rng.integers(0, 128, 200))) for _ in range(50)]  # every ASCII character, by the ASCII pattern
+    assert bpe.Encoder(vocab).encode_batch(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    with pytest.raises(ValueError):
+        bpe.decode_packed(np.array([10**7], "<u4").tobytes(), vocab)
+
+
 def test_decode_refuses_unknown_ids(vocab):
     assert bpe.decode_ids(None, vocab) == ""
     with pytest.raises(ValueError):

@@ -3,10 +3,11 @@
 Texts are cut as the tokenizers library cuts them: first around the added tokens (whose strings become their ids),
 then by the pre-tokenising pattern, each piece's UTF-8 bytes shown as one character per byte. The pieces of a batch
 that were not seen before are merged together: every adjacent pair of symbols in all of them is indexed by its
-positions, and the ranks that occur are applied in ascending order. Applying a rank merges its positions left to
-right (a position whose symbols changed since it was indexed is passed over) and indexes the pairs that the merge
-makes with the neighbours. This is the order of the library, which merges the lowest rank first and, within a rank,
-the leftmost place. Merged pieces are remembered up to a bound, so a task's memory stays bounded.
+position, as arrays over all pieces of about a length. A round merges in every piece the leftmost place of its lowest
+rank and indexes anew the two pairs that the merge makes with the neighbours. Pieces too long for that share an index
+from pairs to positions, whose ranks are applied in ascending order. Both are the order of the library, which merges
+the lowest rank first and, within a rank, the leftmost place. Merged pieces are remembered up to a bound, so a task's
+memory stays bounded.
 
 Nulls: a null text encodes as no ids; null ids decode as ``""``. Empty texts give no ids. Ids outside the vocabulary
 are refused when decoding. Every text is encoded whole, however long.
@@ -17,9 +18,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from itertools import chain
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,14 @@ from tranche.llm.common import fresh, map_batches
 
 #: Fixed value: the pre-tokenising pattern of byte-level BPE, as the public vocabularies give it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same pattern over ASCII, where letters, numbers and spaces are these.
+ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"""
+#: Widths in bytes of the arrays that hold pieces to merge; longer pieces are merged by ``merge_long``.
+WIDTHS = [8, 16, 32, 64]
+#: Pieces merged together in arrays.
+BLOCK = 8192
+#: The value of a pair that doesn't merge; others are ``rank << 32 | merged id``.
+NO_MERGE = np.iinfo(np.int64).max
 #: Pieces remembered by a task with their ids; the memory is cleared when it holds more.
 REMEMBERED = 200_000
 
@@ -58,6 +69,22 @@ class Vocabulary:
     added: dict[str, int]
     byte_ids: list[int]
 
+    @cached_property
+    def pair_table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Merges as arrays, in order of ``left id << 32 | right id``: those keys, and ``rank << 32 | merged id``."""
+        keys = np.array([left << 32 | right for left, right in self.merges], np.int64)
+        values = np.array([rank << 32 | merged for rank, merged in self.merges.values()], np.int64)
+        order = np.argsort(keys)
+        # A last key beyond all others, so that every search ends inside the table.
+        return np.append(keys[order], NO_MERGE), np.append(values[order], NO_MERGE)
+
+    def pair_values(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``rank << 32 | merged id`` of pairs of ids, ``NO_MERGE`` where they don't merge or the right one is none (-1)."""
+        keys, values = self.pair_table
+        wanted = left << 32 | right
+        at = np.searchsorted(keys, wanted)
+        return np.where((keys[at] == wanted) & (left >= 0) & (right >= 0), values[at], NO_MERGE)
+
 
 def public_vocabulary() -> str:
     import public_tokenizers
@@ -88,6 +115,59 @@ def load(path: str) -> Vocabulary:
 
 
 def merge_pieces(pieces: list[bytes], vocab: Vocabulary) -> list[list[int]]:
+    """Ids of each piece, merged together with those of about its length."""
+    out: list[list[int]] = [[]] * len(pieces)
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    least = 0
+    for width in WIDTHS:
+        fitting = np.flatnonzero((sizes > least) & (sizes <= width))
+        least = width
+        for start in range(0, len(fitting), BLOCK):
+            chosen = fitting[start : start + BLOCK]
+            symbols = merge_short([pieces[i] for i in chosen], sizes[chosen], width, vocab)
+            for i, row, n in zip(chosen.tolist(), symbols.tolist(), (symbols >= 0).sum(axis=1).tolist()):
+                out[i] = row[:n]
+    long = np.flatnonzero(sizes > least).tolist()
+    for i, ids in zip(long, merge_long([pieces[i] for i in long], vocab)):
+        out[i] = ids
+    return out
+
+
+def merge_short(pieces: list[bytes], sizes: np.ndarray, width: int, vocab: Vocabulary) -> np.ndarray:
+    """Ids of pieces of at most ``width`` bytes, a row each, filled up with -1."""
+    rows = len(pieces)
+    filled = np.arange(width) < sizes[:, None]
+    done = np.full((rows, width), -1, np.int64)
+    done[filled] = np.array(vocab.byte_ids, np.int64)[np.frombuffer(b"".join(pieces), np.uint8)]
+    # Symbols end in a column of none; pairs[:, i] is the value of the pair at i, which the column after the last never has.
+    symbols = np.append(done, np.full((rows, 1), -1, np.int64), axis=1)
+    pairs = np.full((rows, width), NO_MERGE)
+    pairs[:, :-1] = vocab.pair_values(symbols[:, : width - 1], symbols[:, 1:width])
+    place, columns = np.arange(rows), np.arange(width)
+    while len(place):
+        first = pairs.argmin(axis=1)
+        each = np.arange(len(place))
+        value = pairs[each, first]
+        merging = value != NO_MERGE
+        if not merging.all():
+            done[place[~merging]] = symbols[~merging, :width]
+            place, symbols, pairs, first, value = place[merging], symbols[merging], pairs[merging], first[merging], value[merging]
+            each = each[: len(place)]
+            if not len(place):
+                break
+        merged = value & 0xFFFFFFFF
+        # Everything behind the merged place moves up by one.
+        behind = columns > first[:, None]
+        symbols[:, :width] = np.where(behind, symbols[:, 1:], symbols[:, :width])
+        symbols[each, first] = merged
+        pairs[:, :-1] = np.where(behind[:, :-1], pairs[:, 1:], pairs[:, :-1])
+        pairs[each, first] = vocab.pair_values(merged, symbols[each, first + 1])
+        left = np.flatnonzero(first)
+        pairs[left, first[left] - 1] = vocab.pair_values(symbols[left, first[left] - 1], merged[left])
+    return done
+
+
+def merge_long(pieces: list[bytes], vocab: Vocabulary) -> list[list[int]]:
     """Ids of each piece: all pieces' pairs are indexed by position, then ranks are applied in ascending order."""
     byte_ids = vocab.byte_ids
     symbol = [byte_ids[b] for piece in pieces for b in piece]
@@ -160,8 +240,10 @@ class Encoder:
 
     def __init__(self, vocab: Vocabulary, split_added: bool = True) -> None:
         self.vocab = vocab
-        self.known: dict[str, list[int]] = {}
+        #: Pieces seen with their ids as little-endian unsigned 32-bit integers.
+        self.known: dict[str, bytes] = {}
         self.pattern = regex.compile(PATTERN)
+        self.ascii_pattern = re.compile(ASCII_PATTERN)
         added = sorted(vocab.added, key=len, reverse=True) if split_added else []
         self.added = regex.compile("|".join(regex.escape(a) for a in added)) if added else None
 
@@ -180,35 +262,37 @@ class Encoder:
         return out
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        findall, known, added = self.pattern.findall, self.known, self.vocab.added
+        return [np.frombuffer(ids, "<u4").tolist() for ids in self.encode_packed(texts)]
+
+    def encode_packed(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        known, added = self.known, self.vocab.added
+        split, split_ascii = self.pattern.findall, self.ascii_pattern.findall
         cut = []
-        new: set[str] = set()
+        seen: set[str] = set()
         for text in texts:
             pieces = []
             for special, part in self.parts(text or ""):
                 if special:
                     pieces.append(part)
                     continue
-                found = findall(part)
-                new.update(p for p in found if p not in known)
+                found = split_ascii(part) if part.isascii() else split(part)
+                seen.update(found)
                 pieces.append(found)
             cut.append(pieces)
+        new = [p for p in seen if p not in known]
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = {p for pieces in cut for found in pieces if not isinstance(found, str) for p in found}
-        fresh_pieces = list(new)
-        for piece, ids in zip(fresh_pieces, merge_pieces([p.encode("utf-8") for p in fresh_pieces], self.vocab)):
-            known[piece] = ids
+            new = list(seen)
+        merged = merge_pieces([p.encode("utf-8") for p in new], self.vocab)
+        packed, at = np.fromiter(chain.from_iterable(merged), "<u4").tobytes(), 0
+        for piece, ids in zip(new, merged):
+            known[piece] = packed[at : (at := at + 4 * len(ids))]
         lookup = known.__getitem__
         out = []
         for pieces in cut:
-            ids = []
-            for found in pieces:
-                if isinstance(found, str):
-                    ids.append(added[found])
-                else:
-                    ids.extend(chain.from_iterable(map(lookup, found)))
-            out.append(ids)
+            ids = [added[found].to_bytes(4, "little") if isinstance(found, str) else b"".join(map(lookup, found)) for found in pieces]
+            out.append(b"".join(ids))
         return out
 
 
@@ -234,6 +318,20 @@ def decode_ids(ids, vocab: Vocabulary) -> str:
     return b"".join(map(vocab.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def decode_packed(ids: bytes, vocab: Vocabulary) -> str:
+    """``decode_ids`` of ids as little-endian unsigned 32-bit integers."""
+    ids = np.frombuffer(ids, "<u4")
+    if len(ids) and ids.max() >= len(vocab.token_bytes):
+        raise ValueError("an id outside the vocabulary")
+    return b"".join(map(vocab.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
+
+def id_lists(packed: list[bytes]) -> pa.ListArray:
+    """Texts' ids, given as little-endian unsigned 32-bit integers, as lists of integers."""
+    ends = np.cumsum([0, *[len(ids) // 4 for ids in packed]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
 def encode(df: DataFrame, vocab_path: str | None = None, text: str = "text", out: str = "ids", split_added: bool = True) -> DataFrame:
     """``df`` with ``out``: array<int> of the ids of ``text``. All columns are kept; ``out`` is renamed if taken."""
     path = vocab_path or public_vocabulary()
@@ -244,8 +342,8 @@ def encode(df: DataFrame, vocab_path: str | None = None, text: str = "text", out
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(path, split_added)
         for batch in batches:
-            ids = encoder.encode_batch(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32(), ))], schema=pa.schema([*batch.schema, pa.field(out, pa.list_(pa.int32()), False)]))
+            ids = id_lists(encoder.encode_packed(batch.column(at).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], schema=pa.schema([*batch.schema, pa.field(out, pa.list_(pa.int32()), False)]))
 
     return map_batches(df, run, schema)
 
@@ -297,10 +395,10 @@ def round_trip(df: DataFrame, vocab_path: str | None = None, text: str = "text",
         encoder = shared_encoder(path, split_added)
         vocab = encoder.vocab
         for batch in batches:
-            ids = encoder.encode_batch(batch.column(at).to_pylist())
-            digests = [hashlib.sha256(np.asarray(i, dtype="<u4").tobytes()).hexdigest() for i in ids]
-            texts = [decode_ids(i, vocab) for i in ids]
-            columns = [pa.array(ids, arrow[0]), pa.array(digests, arrow[1]), pa.array(texts, arrow[2])]
+            packed = encoder.encode_packed(batch.column(at).to_pylist())
+            digests = [hashlib.sha256(ids).hexdigest() for ids in packed]
+            texts = [decode_packed(ids, vocab) for ids in packed]
+            columns = [id_lists(packed), pa.array(digests, arrow[1]), pa.array(texts, arrow[2])]
             fields = [*batch.schema, *[pa.field(n, k, False) for n, k in zip(names, arrow)]]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema=pa.schema(fields))
 
