@@ -42,6 +42,37 @@ def test_batch_equals_brute_force(sides):
         assert (found["n_a"][k], found["n_b"][k], found["n_groups"][k]) == (len(a), len(b), groups.count(";") + 1 if groups else 0)
 
 
+def test_parts_aligned_once_equal_whole_texts(sides, monkeypatch):
+    """Texts cut at spaces, their parts remembered and forgotten, or not cut at all: the same columns as whole texts give."""
+    rng = np.random.default_rng(4)
+    gaps = [" ", " ", " ", "  ", "\n", " \n ", "\t ", "\x1f ", "\u3000 ", "\xa0", "'s ", ""]
+    words = WORDS + ["a" * 150, "end.", "▁", "don", "'ll"]
+    texts = ["".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.integers(1, 30))) for _ in range(150)]
+    texts += [None, "", " ", "  ", "a ", " a", "▁ ▁", "a ▁ b", "a  b", "\n a"] + [t.replace("▁", "") + " end" for t in texts]
+    want = al.align_batch([sides.tokens([t])[0] for t in texts], sides.a_len, sides.b_len)
+    assert 0 < (want["n_a"] == 0).sum() < len(texts)
+
+    def check(aligner, size):
+        got = [aligner.align(texts[i : i + size]) for i in range(0, len(texts), size)]
+        for name in ("n_a", "n_b", "n_groups", "n_links"):
+            assert np.array_equal(np.concatenate([g[name] for g in got]), want[name])
+        assert [x for g in got for x in g["groups"]] == want["groups"]
+        for k in (1, 2, 3):
+            assert np.array_equal(np.concatenate([g["links"][k] for g in got]), want["links"][k])
+        assert np.array_equal(np.concatenate([np.diff(g["links"][0]) for g in got]), np.diff(want["links"][0]))
+
+    aligner = al.Aligner(*al.public_paths())
+    assert aligner.sides.cuts
+    for size in (len(texts), 7, 7):
+        check(aligner, size)
+    assert len(aligner.known) == len(aligner.groups) == aligner.numbers.shape[1] and not any(len(p) > al.LONGEST for p in aligner.known)
+    monkeypatch.setattr(al, "REMEMBERED", 20)
+    check(aligner, 3)
+    aligner.sides.cuts = False
+    aligner.forget()
+    check(aligner, 50)
+
+
 def test_texts_without_tokens(sides):
     texts = [None, "", "a b"]  # the last: whether the piece side changes it or not, both sides must join to the text
     for (a, b), t in zip(sides.tokens(texts), texts):

@@ -1,9 +1,12 @@
 """Cross-tokenizer alignment: tokens of two vocabularies over the same bytes, linked where their byte ranges overlap.
 
-Each batch of documents is encoded by both tokenizers; every token gets its byte range. One ``pandas.merge_asof`` per
+Texts are cut at spaces that neither tokenizer's tokens reach across (``cuts_apart`` checks the vocabularies; others are not
+cut). The parts of a batch not seen before are encoded by both tokenizers; every token gets its byte range. One ``pandas.merge_asof`` per
 direction, keyed by document, finds for each token start the other side's token that covers it (the one with the
 largest start at or before it). Two ranges overlap exactly when one's start lies in the other, so the union of both
-directions is every overlapping pair. Offsets where both sides end a token cut the tokens into groups.
+directions is every overlapping pair. Offsets where both sides end a token cut the tokens into groups. A part ends a
+token on both sides, so a document's groups and links are those of its parts together. Aligned parts are remembered up
+to a bound.
 
 Corpus-wide, each (A id, B id) pair is counted once per document that links it, by one grouped aggregation that
 combines map-side, so a pair in every document costs one row per task before the shuffle. The counts go back to the
@@ -17,8 +20,11 @@ Extra columns are kept; clashing names are lengthened.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,6 +45,12 @@ MARK = "▁"
 #: Text bytes aligned at once in a task: tokens, links and group texts of a slice are held together.
 SLICE_BYTES = 1 << 18
 
+#: Aligned parts of texts remembered by a task, and the longest that is, in characters. All are forgotten when there are more.
+REMEMBERED, LONGEST = 200_000, 100
+#: A space behind a character that is none, and before any other.
+GAP = re.compile(r"(?<=\S) (?!\Z)")
+SPACED = re.compile(r"\s ")
+
 LINK = T.StructType([T.StructField("a", T.IntegerType(), False), T.StructField("b", T.IntegerType(), False), T.StructField("n", T.LongType(), False)])
 ALIGNED = [
     ("n_a", T.LongType()),
@@ -68,6 +80,12 @@ def flat_bytes(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)])[:-1].astype(np.int64)
 
 
+def flat_lists(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All lists' ids one after another, and their number per list."""
+    counts = np.array([len(x) for x in lists], np.int64)
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), counts
+
+
 def joined(ids: np.ndarray, flat: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The bytes of ``ids`` joined, gathered from the flat table."""
     sizes = lengths[ids]
@@ -94,36 +112,89 @@ class Sides:
         self.b_len = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
         self.a_flat, self.a_at = flat_bytes(self.a_bytes)
         self.b_flat, self.b_at = flat_bytes(self.b_bytes)
+        self.cuts = cuts_apart(a_path, self.b)
         if max(len(self.a_len), len(self.b_len)) > 1 << 16:
             raise ValueError("ids are packed in 16 bits: vocabularies of at most 65,536 ids")
 
+    def flat_tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both sides, those of all texts one after another, with their number per text: A ids, numbers, B ids, numbers.
+
+        None where the text is null or empty or a side's bytes differ from ``" " + text``.
+        """
+        present = [t for t in texts if t]
+        wholes = [(" " + t).encode("utf-8") for t in present]
+        sizes = np.array([len(w) for w in wholes], np.int64)
+        a_ids, a_counts = self.a_tokens(present, sizes)
+        b_lists = self.b.encode(present, num_threads=1) if present else []
+        fits = np.ones(len(present), bool)
+        sides = []
+        tables = (self.a_len, self.a_flat, self.a_at), (self.b_len, self.b_flat, self.b_at)
+        for (ids, counts), (lengths, flat, at) in zip(((a_ids, a_counts), flat_lists(b_lists)), tables):
+            of = np.repeat(np.arange(len(present)), counts)
+            # Lengths are whole numbers far below 2**53, so the sums are exact.
+            same = np.bincount(of, lengths[ids], len(present)) == sizes
+            text = np.frombuffer(b"".join(w for w, k in zip(wholes, same.tolist()) if k), np.uint8)
+            wrong = joined(ids[same[of]], flat, at, lengths) != text
+            same[np.repeat(np.flatnonzero(same), sizes[same])[wrong]] = False
+            fits &= same
+            sides.append((ids, counts, of))
+        out = []
+        filled = np.flatnonzero([bool(t) for t in texts])
+        for ids, counts, of in sides:
+            every = np.zeros(len(texts), np.int64)
+            every[filled] = np.where(fits, counts, 0)
+            out += [ids[fits[of]], every]
+        return tuple(out)
+
+    def a_tokens(self, texts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of all texts, and their number per text. Texts that ``cuts`` allows it for are encoded as one, joined again."""
+        # The fast form leaves out character offsets; the ids are the same.
+        encode = lambda found: [e.ids for e in self.a.encode_batch_fast(found, add_special_tokens=False)]
+        if self.cuts and texts and not any(t[-1].isspace() for t in texts[:-1]):
+            ids = np.array(encode([" " + " ".join(texts)])[0], np.int64)
+            ends, text_ends = np.cumsum(self.a_len[ids]), np.cumsum(sizes)
+            last = np.searchsorted(ends, text_ends)
+            if len(ends) and ends[-1] == text_ends[-1] and np.array_equal(ends[last], text_ends):
+                return ids, np.diff(last, prepend=-1)
+        return flat_lists(encode([" " + t for t in texts]))
+
     def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides per text; empty where the text is null or empty or a side's bytes differ from ``" " + text``."""
-        present = [i for i, t in enumerate(texts) if t]
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(texts)
-        if not present:
-            return out
-        # The fast form leaves out character offsets; the ids are the same.
-        a_ids = self.a.encode_batch_fast([" " + texts[i] for i in present], add_special_tokens=False)
-        b_ids = self.b.encode([texts[i] for i in present], num_threads=1)
-        for i, a, b in zip(present, a_ids, b_ids):
-            whole = (" " + texts[i]).encode("utf-8")
-            a, b = np.array(a.ids, np.int64), np.array(b, np.int64)
-            if self.a_len[a].sum() != len(whole) or self.b_len[b].sum() != len(whole):
-                continue
-            whole = np.frombuffer(whole, np.uint8)
-            if not (np.array_equal(joined(a, self.a_flat, self.a_at, self.a_len), whole) and np.array_equal(joined(b, self.b_flat, self.b_at, self.b_len), whole)):
-                continue
-            out[i] = (a, b)
-        return out
+        a, n_a, b, n_b = self.flat_tokens(texts)
+        return list(zip(np.split(a, np.cumsum(n_a)[:-1]), np.split(b, np.cumsum(n_b)[:-1]))) if texts else []
+
 
+def cuts_apart(a_path: str, b) -> bool:
+    """Whether texts may be cut at spaces between other characters (``GAP``) without changing a token of either side.
 
-def side_frame(ids: list[np.ndarray], lengths: np.ndarray, name: str) -> pd.DataFrame:
+    A: byte-level BPE whose pattern lets a piece take one space before it, with no other change of the text and special
+    added tokens only (they are plain text here). B: BPE by merges, the text taken as it is behind one space, bytes for
+    unknown characters, and no piece that holds a space behind another character.
+    """
+    with open(a_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    cutter = spec.get("pre_tokenizer") or {}
+    plain = spec["model"].get("type", "BPE") == "BPE" and not spec.get("normalizer") and all(t.get("special") for t in spec.get("added_tokens", []))
+    if not plain or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True):
+        return False
+    try:
+        from sentencepiece import sentencepiece_model_pb2
+    except ImportError:
+        return False
+    model = sentencepiece_model_pb2.ModelProto.FromString(b.serialized_model_proto())
+    trainer, normal, kinds = model.trainer_spec, model.normalizer_spec, sentencepiece_model_pb2.ModelProto.SentencePiece
+    return (
+        trainer.model_type == trainer.BPE and trainer.byte_fallback and not trainer.treat_whitespace_as_suffix
+        and not normal.precompiled_charsmap and normal.add_dummy_prefix and normal.escape_whitespaces and not normal.remove_extra_whitespaces
+        and all(p.type in (kinds.NORMAL, kinds.UNKNOWN, kinds.CONTROL, kinds.BYTE) and MARK not in p.piece.lstrip(MARK) for p in model.pieces)
+    )
+
+
+def side_frame(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, name: str) -> pd.DataFrame:
     """Tokens of a batch: document, global start and end (documents laid one after another), id, place in the batch."""
-    docs = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    ends = np.cumsum(lengths[flat])
-    return pd.DataFrame({"doc": docs, "start": ends - lengths[flat], "end": ends, name: flat, f"{name}_at": np.arange(len(flat))})
+    ends = np.cumsum(lengths[ids])
+    docs = np.repeat(np.arange(len(counts)), counts)
+    return pd.DataFrame({"doc": docs, "start": ends - lengths[ids], "end": ends, name: ids, f"{name}_at": np.arange(len(ids))})
 
 
 _DECIMAL = np.array([str(i) for i in range(1 << 16)], dtype=object)
@@ -135,9 +206,21 @@ def decimal(ids: np.ndarray) -> np.ndarray:
 
 
 def align_batch(pairs: list[tuple[np.ndarray, np.ndarray]], a_len: np.ndarray, b_len: np.ndarray) -> dict:
-    """Columns per document: n_a, n_b, n_groups, n_links, groups text; links as (offsets, a, b, n), distinct per document."""
-    a = side_frame([p[0] for p in pairs], a_len, "a")
-    b = side_frame([p[1] for p in pairs], b_len, "b")
+    """``align_flat`` of the ids of both sides per document."""
+    flat = []
+    for side in (0, 1):
+        ids = [p[side] for p in pairs]
+        flat += [np.concatenate(ids) if ids else np.zeros(0, np.int64), np.array([len(x) for x in ids], np.int64)]
+    return align_flat(*flat, a_len, b_len)
+
+
+def align_flat(a_ids: np.ndarray, a_counts: np.ndarray, b_ids: np.ndarray, b_counts: np.ndarray, a_len: np.ndarray, b_len: np.ndarray) -> dict:
+    """Columns per document: n_a, n_b, n_groups, n_links, groups text; links as (offsets, a, b, n), distinct per document.
+
+    Ids of all documents follow one another, with their number per document beside them.
+    """
+    a = side_frame(a_ids, a_counts, a_len, "a")
+    b = side_frame(b_ids, b_counts, b_len, "b")
     # Both sides tile the same bytes in the same order, so their global offsets agree document by document.
     by_a = pd.merge_asof(a[["start", "doc", "a"]], b[["start", "doc", "b"]], on="start", by="doc", direction="backward")
     by_b = pd.merge_asof(
@@ -145,7 +228,7 @@ def align_batch(pairs: list[tuple[np.ndarray, np.ndarray]], a_len: np.ndarray, b
     )
     # A pair found from both sides starts at one place on both; from B's side it is taken only where the starts differ.
     by_b = by_b[by_b["a_start"].to_numpy() != by_b["start"].to_numpy()]
-    docs = len(pairs)
+    docs = len(a_counts)
     link_doc = np.concatenate([by_a["doc"].to_numpy(), by_b["doc"].to_numpy()]).astype(np.int64)
     key = (link_doc << 32) | (np.concatenate([by_a["a"].to_numpy(), by_b["a"].to_numpy()]).astype(np.int64) << 16)
     key |= np.concatenate([by_a["b"].to_numpy(), by_b["b"].to_numpy()]).astype(np.int64)
@@ -183,6 +266,103 @@ def align_batch(pairs: list[tuple[np.ndarray, np.ndarray]], a_len: np.ndarray, b
     }
 
 
+def parts_of(text: str) -> list[str]:
+    """``text`` cut at every gap; the space there belongs to no part."""
+    if text[0] == " " or text[-1] == " " or SPACED.search(text):
+        return GAP.split(text)
+    return text.split(" ")  # the same, and faster
+
+
+class Aligner:
+    """Aligns texts slice by slice; parts between gaps are aligned once and then remembered."""
+
+    def __init__(self, a_path: str, b_path: str) -> None:
+        self.sides = Sides(a_path, b_path)
+        self.forget()
+
+    def forget(self) -> None:
+        #: Places of the remembered parts in the columns below; ``link_at`` has one place more than there are parts.
+        self.known: dict[str, int] = {}
+        self.numbers = np.zeros((4, 0), np.int64)
+        self.groups: list[str] = []
+        self.link_at = np.zeros(1, np.int64)
+        self.links = np.zeros((2, 0), np.int64)
+
+    def keep(self, size: int) -> None:
+        """Cut the columns to their first ``size`` parts."""
+        self.numbers, self.groups, self.link_at = self.numbers[:, :size], self.groups[:size], self.link_at[: size + 1]
+        self.links = self.links[:, : self.link_at[-1]]
+
+    def add(self, runs: list[list[str]]) -> None:
+        runs = [parts for parts in runs if parts]
+        for parts in runs:
+            self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts))))
+        found = [align_flat(*self.sides.flat_tokens(parts), self.sides.a_len, self.sides.b_len) for parts in runs]
+        self.numbers = np.concatenate([self.numbers, *[[f[n] for n in ("n_a", "n_b", "n_groups", "n_links")] for f in found]], axis=1)
+        sizes = [np.diff(self.link_at), *[np.diff(f["links"][0]) for f in found]]
+        self.link_at = np.append(0, np.cumsum(np.concatenate(sizes)))
+        self.links = np.concatenate([self.links, *[[f["links"][1] << 16 | f["links"][2], f["links"][3]] for f in found]], axis=1)
+        for f in found:
+            self.groups += f["groups"]
+
+    def align(self, texts: list[str | None]) -> dict:
+        """The columns of ``align_flat``, a row per text."""
+        cut = [(parts_of(t) if self.sides.cuts else [t]) if t else [] for t in texts]
+        seen = set(chain.from_iterable(cut))
+        new = [p for p in seen if p not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.forget()
+            new = list(seen)
+        # Those that end in a space character can't be joined with others; long ones are not remembered beyond their slice.
+        joinable, ending, long = [], [], []
+        for p in new:
+            (long if len(p) > LONGEST else ending if p[-1].isspace() else joinable).append(p)
+        self.add([joinable, ending, long])
+        out = self.composed(cut)
+        self.keep(len(self.groups) - len(long))
+        for p in long:
+            del self.known[p]
+        return out
+
+    def composed(self, cut: list[list[str]]) -> dict:
+        docs = len(cut)
+        counts = np.array([len(parts) for parts in cut], np.int64)
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        doc = np.repeat(np.arange(docs), counts)
+        # A part without tokens is one that a tokenizer changes: then the whole text has none.
+        changed = np.zeros(docs, bool)
+        changed[doc[self.numbers[0, at] == 0]] = True
+        kept = ~changed[doc]
+        at, doc = at[kept], doc[kept]
+        # Sums of whole numbers far below 2**53 are exact.
+        sums = [np.bincount(doc, row[at], docs).astype(np.int64) for row in self.numbers]
+        place = np.searchsorted(doc, np.arange(docs + 1)).tolist()
+        groups = list(map(self.groups.__getitem__, at.tolist()))
+        sizes = np.diff(self.link_at)[at]
+        links = np.arange(int(sizes.sum())) + np.repeat(self.link_at[at] - (np.cumsum(sizes) - sizes), sizes)
+        key = np.repeat(doc, sizes) << 32 | self.links[0, links]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        n = np.add.reduceat(self.links[1, links][order], first) if len(key) else first
+        key = key[first]
+        return {
+            "n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "n_links": sums[3],
+            "groups": [";".join(groups[place[d] : place[d + 1]]) for d in range(docs)],
+            "links": (np.searchsorted(key >> 32, np.arange(docs + 1)), (key >> 16) & 0xFFFF, key & 0xFFFF, n),
+        }
+
+
+_ALIGNERS: dict[tuple[str, str], Aligner] = {}
+
+
+def shared_aligner(a_path: str, b_path: str) -> Aligner:
+    """One aligner per pair of vocabularies in a Python worker, which Spark reuses across tasks."""
+    if (a_path, b_path) not in _ALIGNERS:
+        _ALIGNERS[(a_path, b_path)] = Aligner(a_path, b_path)
+    return _ALIGNERS[(a_path, b_path)]
+
+
 def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of ``batch`` whose texts hold at most ``SLICE_BYTES`` together; a longer text is a slice alone."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
@@ -206,9 +386,9 @@ def aligned(df: DataFrame, a_path: str | None = None, b_path: str | None = None,
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.field("item", link, False))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = Sides(a_path, b_path)
+        aligner = shared_aligner(a_path, b_path)
         for batch in (part for whole in batches for part in slices(whole, at)):
-            found = align_batch(sides.tokens(batch.column(at).to_pylist()), sides.a_len, sides.b_len)
+            found = aligner.align(batch.column(at).to_pylist())
             offsets, la, lb, ln = found["links"]
             items = pa.StructArray.from_arrays([pa.array(la, pa.int32()), pa.array(lb, pa.int32()), pa.array(ln, pa.int64())], fields=list(link))
             columns = [pa.array(np.asarray(found[n], np.int64), pa.int64()) for n, _ in ALIGNED[:4]]
