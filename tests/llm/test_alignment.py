@@ -73,6 +73,25 @@ def test_parts_aligned_once_equal_whole_texts(sides, monkeypatch):
     check(aligner, 50)
 
 
+def test_parts_used_again_stay_when_others_are_forgotten(monkeypatch):
+    """Of too many parts those of later slices stay, so they are not encoded again; a failed slice leaves nothing half known."""
+    monkeypatch.setattr(al, "REMEMBERED", 20)
+    aligner = al.Aligner(*al.public_paths())
+    encoded = Counter()
+    whole = aligner.sides.flat_tokens
+    monkeypatch.setattr(aligner.sides, "flat_tokens", lambda parts: (encoded.update(parts), whole(parts))[1])
+    for i in range(30):
+        aligner.align([f"often {'x' * 120} rare{i} {' '.join(f'w{i}q{j}' for j in range(5))} cut\n"])
+        assert len(aligner.known) == len(aligner.groups) == aligner.numbers.shape[1] == len(aligner.uses) <= 20
+    assert encoded["often"] == encoded["cut\n"] == 1 and encoded["rare3"] == 1 and encoded["x" * 120] == 30
+    want = aligner.align(["often seen", "often cut\n"])["groups"]
+    monkeypatch.setattr(aligner.sides, "flat_tokens", lambda parts: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        aligner.align(["often new"])
+    monkeypatch.setattr(aligner.sides, "flat_tokens", whole)
+    assert aligner.align(["often seen", "often cut\n"])["groups"] == want
+
+
 def test_texts_without_tokens(sides):
     texts = [None, "", "a b"]  # the last: whether the piece side changes it or not, both sides must join to the text
     for (a, b), t in zip(sides.tokens(texts), texts):

@@ -24,7 +24,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -45,7 +45,8 @@ MARK = "▁"
 #: Text bytes aligned at once in a task: tokens, links and group texts of a slice are held together.
 SLICE_BYTES = 1 << 18
 
-#: Aligned parts of texts remembered by a task, and the longest that is, in characters. All are forgotten when there are more.
+#: Aligned parts of texts remembered by a task from slice to slice, and the longest that is, in characters. When there are more,
+#: those not used again are forgotten.
 REMEMBERED, LONGEST = 200_000, 100
 #: A space behind a character that is none, and before any other.
 GAP = re.compile(r"(?<=\S) (?!\Z)")
@@ -273,6 +274,14 @@ def parts_of(text: str) -> list[str]:
     return text.split(" ")  # the same, and faster
 
 
+class Places(dict):
+    """Places of parts; a part looked up for the first time takes the next one."""
+
+    def __missing__(self, part: str) -> int:
+        place = self[part] = len(self)
+        return place
+
+
 class Aligner:
     """Aligns texts slice by slice; parts between gaps are aligned once and then remembered."""
 
@@ -282,64 +291,102 @@ class Aligner:
 
     def forget(self) -> None:
         #: Places of the remembered parts in the columns below; ``link_at`` has one place more than there are parts.
-        self.known: dict[str, int] = {}
+        self.known = Places()
         self.numbers = np.zeros((4, 0), np.int64)
         self.groups: list[str] = []
         self.link_at = np.zeros(1, np.int64)
         self.links = np.zeros((2, 0), np.int64)
+        #: Slices that used a part again, since parts were last forgotten.
+        self.uses = np.zeros(0, np.int64)
 
     def keep(self, size: int) -> None:
         """Cut the columns to their first ``size`` parts."""
         self.numbers, self.groups, self.link_at = self.numbers[:, :size], self.groups[:size], self.link_at[: size + 1]
-        self.links = self.links[:, : self.link_at[-1]]
+        self.links, self.uses = self.links[:, : self.link_at[-1]], self.uses[:size]
+
+    def forget_unused(self) -> None:
+        """Of more than ``REMEMBERED`` parts keep those used again, the most used half of ``REMEMBERED`` at most."""
+        kept = np.flatnonzero(self.uses)
+        if len(kept) > REMEMBERED // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: REMEMBERED // 2]])
+        parts = list(self.known)
+        self.known = Places(zip(map(parts.__getitem__, kept.tolist()), range(len(kept))))
+        places, sizes = self.link_places(kept)
+        self.numbers, self.links = self.numbers[:, kept], self.links[:, places]
+        self.groups = list(map(self.groups.__getitem__, kept.tolist()))
+        self.link_at = np.append(0, np.cumsum(sizes))
+        self.uses = np.zeros(len(kept), np.int64)
+
+    def link_places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``links`` of the parts at ``at``, one part after another, and their number per part."""
+        sizes = np.diff(self.link_at)[at]
+        return np.arange(int(sizes.sum())) + np.repeat(self.link_at[at] - (np.cumsum(sizes) - sizes), sizes), sizes
 
     def add(self, runs: list[list[str]]) -> None:
-        runs = [parts for parts in runs if parts]
-        for parts in runs:
-            self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts))))
-        found = [align_flat(*self.sides.flat_tokens(parts), self.sides.a_len, self.sides.b_len) for parts in runs]
+        found = [align_flat(*self.sides.flat_tokens(parts), self.sides.a_len, self.sides.b_len) for parts in runs if parts]
         self.numbers = np.concatenate([self.numbers, *[[f[n] for n in ("n_a", "n_b", "n_groups", "n_links")] for f in found]], axis=1)
-        sizes = [np.diff(self.link_at), *[np.diff(f["links"][0]) for f in found]]
-        self.link_at = np.append(0, np.cumsum(np.concatenate(sizes)))
-        self.links = np.concatenate([self.links, *[[f["links"][1] << 16 | f["links"][2], f["links"][3]] for f in found]], axis=1)
+        ends = [self.link_at]
         for f in found:
+            ends.append(f["links"][0][1:] + ends[-1][-1])
             self.groups += f["groups"]
+        self.link_at = np.concatenate(ends)
+        self.links = np.concatenate([self.links, *[[f["links"][1] << 16 | f["links"][2], f["links"][3]] for f in found]], axis=1)
 
     def align(self, texts: list[str | None]) -> dict:
         """The columns of ``align_flat``, a row per text."""
-        cut = [(parts_of(t) if self.sides.cuts else [t]) if t else [] for t in texts]
-        seen = set(chain.from_iterable(cut))
-        new = [p for p in seen if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
+        try:
+            return self.aligned(texts)
+        except BaseException:
+            # A worker serves later tasks too: parts that have a place, but no columns yet, must not stay.
             self.forget()
-            new = list(seen)
+            raise
+
+    def aligned(self, texts: list[str | None]) -> dict:
+        cut = [(parts_of(t) if self.sides.cuts else [t]) if t else [] for t in texts]
+        counts = np.array([len(parts) for parts in cut], np.int64)
+        before = len(self.known)
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        new = list(islice(reversed(self.known), len(self.known) - before))[::-1]
         # Those that end in a space character can't be joined with others; long ones are not remembered beyond their slice.
         joinable, ending, long = [], [], []
         for p in new:
-            (long if len(p) > LONGEST else ending if p[-1].isspace() else joinable).append(p)
-        self.add([joinable, ending, long])
-        out = self.composed(cut)
+            (long if len(p) > LONGEST else ending if p[-1:].isspace() else joinable).append(p)
+        if ending or long:
+            # The columns have the parts in this order.
+            place = np.arange(len(self.known))
+            for i, p in enumerate(chain(joinable, ending, long), before):
+                place[self.known[p]] = i
+            at = place[at]
+            for p in new:
+                del self.known[p]
+            self.known.update(zip(chain(joinable, ending, long), range(before, before + len(new))))
+        if new:
+            self.add([joinable, ending, long])
+        out = self.composed(counts, at)
         self.keep(len(self.groups) - len(long))
         for p in long:
             del self.known[p]
+        again = np.bincount(at[at < before], minlength=before) > 0
+        self.uses = np.append(self.uses + again, np.zeros(len(self.groups) - before, np.int64))
+        if len(self.known) > REMEMBERED:
+            self.forget_unused()
         return out
 
-    def composed(self, cut: list[list[str]]) -> dict:
-        docs = len(cut)
-        counts = np.array([len(parts) for parts in cut], np.int64)
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+    def composed(self, counts: np.ndarray, at: np.ndarray) -> dict:
+        """The columns of texts of ``counts`` parts each, whose places are ``at``."""
+        docs = len(counts)
         doc = np.repeat(np.arange(docs), counts)
         # A part without tokens is one that a tokenizer changes: then the whole text has none.
         changed = np.zeros(docs, bool)
         changed[doc[self.numbers[0, at] == 0]] = True
-        kept = ~changed[doc]
-        at, doc = at[kept], doc[kept]
+        if changed.any():
+            kept = ~changed[doc]
+            at, doc = at[kept], doc[kept]
         # Sums of whole numbers far below 2**53 are exact.
         sums = [np.bincount(doc, row[at], docs).astype(np.int64) for row in self.numbers]
         place = np.searchsorted(doc, np.arange(docs + 1)).tolist()
         groups = list(map(self.groups.__getitem__, at.tolist()))
-        sizes = np.diff(self.link_at)[at]
-        links = np.arange(int(sizes.sum())) + np.repeat(self.link_at[at] - (np.cumsum(sizes) - sizes), sizes)
+        links, sizes = self.link_places(at)
         key = np.repeat(doc, sizes) << 32 | self.links[0, links]
         order = np.argsort(key, kind="stable")
         key = key[order]
