@@ -104,3 +104,44 @@ def test_bins_are_found_by_halving(spark):
         assert got == [len(cut) + 1 if v is None or v != v else sum(v > b for b in cut) for v in values]
     plan = df.select(hb.binned(F.col("x"), borders).alias("b"))._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate([64,32,16,8,4,2,1]" in plan  # seven steps a value for 127 borders
+
+
+def test_forests_grown_in_tasks_and_by_levels_are_the_same(spark, monkeypatch):
+    df = table(spark, n=900).repartition(3).persist()
+    common = {"learning_rate": 0.3, "l2_leaf_reg": 1.0}
+    settings = [
+        {"iterations": 25, "depth": 2, "border_count": 8, "random_strength": 1.0, **common},
+        {"iterations": 4, "depth": 9, "border_count": 300, "random_strength": 0.0, **common},
+    ]
+    features = ["x1", "x2", "x3"]
+    in_tasks = hb.fit_many(df, features, settings, "y", "w")
+    monkeypatch.setattr(hb, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(hb, "MOST_PARTIALS", 2)
+    monkeypatch.setattr(hb, "MOST_STEPS", 3)
+    by_levels = hb.fit_many(df, features, settings, "y", "w", checkpoint_every=2, most_in_a_task=0)
+    for setting, one, other in zip(settings, in_tasks, by_levels, strict=True):
+        assert len(one.trees) == setting["iterations"] and all(len(levels) <= setting["depth"] for levels, _ in one.trees)
+        assert (one.borders, one.trees, one.gains) == (other.borders, other.trees, other.gains)
+    alone = hb.fit(df, features, "y", "w", iterations=4, learning_rate=0.3, depth=9, l2_leaf_reg=1.0, random_strength=0.0, border_count=300)
+    assert (alone.borders, alone.trees) == (in_tasks[1].borders, in_tasks[1].trees)
+    df.unpersist()
+
+
+def test_many_forests_score_as_each_does(spark):
+    df = table(spark, n=300)
+    settings = [dict(iterations=k, learning_rate=0.3, depth=k, l2_leaf_reg=1.0, random_strength=0.0, border_count=4 * k) for k in (1, 3)]
+    models = hb.fit_many(df, ["x1", "x2", "x3"], settings, "y")
+    every = hb.predict_many(models, df, "number", "p").groupBy("number").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("p")).collect()
+    alone = [hb.predict(m, df, "p").agg(F.sum("p")).first()[0] for m in models]
+    assert {r.number: r.n for r in every} == {0: 300, 1: 300}
+    assert [r.p for r in sorted(every, key=lambda r: r.number)] == pytest.approx(alone, abs=1e-9)
+
+
+def test_a_split_that_leaves_a_side_without_rows_is_not_taken(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(i % 2), *map(float, rng.normal(size=3)), int(t), float(v)) for i, (t, v) in enumerate(zip(rng.integers(0, 2, 500), rng.uniform(0.1, 3.0, 500)))]
+    df = spark.createDataFrame(rows, "x double, a double, b double, c double, y int, w double")
+    model = hb.fit(df, ["x", "a", "b", "c"], "y", "w", iterations=8, depth=4, random_strength=50.0)
+    taken = {at for levels, _ in model.trees for at in levels}
+    # Nothing is above the largest value of x, which is its last border, and no value of any feature is missing.
+    assert taken and all(split < len(model.borders[feature]) - (model.borders[feature][-1] == 1.0) for feature, split in taken)
