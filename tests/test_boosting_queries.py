@@ -5,6 +5,7 @@ import datetime
 import pytest
 
 from tests.frames import frame
+from tranche.operators import training
 from tranche.plans import catalogue
 
 
@@ -30,3 +31,13 @@ def test_boosting_grows_500_trees_of_up_to_six_levels(spark, tables):
     rows = catalogue.queries()["m4_histogram_boosting"](spark, tables).collect()
     assert {r.tree for r in rows} == set(range(500)) and max(r.level for r in rows) == 5
     assert 0.5 < rows[0].train_auc <= 1.0 and 0.0 <= rows[0].test_auc <= 1.0
+
+
+def test_search_runs_the_published_trials(spark, tables):
+    rows = catalogue.queries()["m5_random_search_histogram"](spark, tables).collect()
+    drawn = training.draw_trials(25)
+    assert sorted(r.trial_index for r in rows) == list(range(25))
+    assert all({n: r[n] for n in drawn[0]} == drawn[r.trial_index] for r in rows)
+    assert min(r.iterations for r in rows) >= 300
+    areas = [r.roc_auc for r in rows]
+    assert areas == sorted(areas, reverse=True) and all(0.0 <= a <= 1.0 for a in areas)
